@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import simhash
+from corpusmill.llm import packing, simhash
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op7_simhash": simhash.op7_simhash,
 }
 
