@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import packing, simhash
+from corpusmill.llm import packing, simhash, substring
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op4_packing": packing.op4_packing,
     "op7_simhash": simhash.op7_simhash,
 }
