@@ -8,8 +8,8 @@ full, item for item), the fullest first; a filling is applied as many times at
 once as the counts allow.  Branch and bound tries the next fillings while the
 waste bound leaves room for a better result than the incumbent, which starts as
 best-fit decreasing.  Pieces then take the places of their length by rank:
-counts per task and length are summed on the driver-free path, so no length's
-pieces ever meet in one task.
+counts per task and length give each task its first rank of a length, so no
+length's pieces ever meet in one task.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each by itself; an empty table gives no sequences; other columns are
@@ -24,14 +24,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batches, id_and_bytes, partition_number, stage, table
 from corpusmill.llm.tokens import END, decode_text, encoder
 
 CAPACITY = 1024
-NODES = 200  # bins completed by other than the first filling before the search settles for its incumbent
+NODES = 400  # bins completed by other than the first filling before the search settles for its incumbent
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -120,12 +120,11 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
         raise ValueError("lengths must lie between 1 and the capacity")
     total = lambda plan: sum(t for _, t in plan)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    budget = nodes
-
-    def complete(left: dict[int, int], plan: list, used: int, turn: int) -> None:
-        """Finish greedily from here, taking filling number ``turn`` first."""
-        nonlocal best, budget
-        branches = []
+    open_ = [(dict(counts), [], 0, 0)]
+    while open_ and nodes >= 0 and total(best) > bound:
+        left, plan, used, turn = open_.pop()
+        nodes -= 1
+        undo = []
         while left and used + lower_bound_quick(left, capacity) < total(best):
             largest = max(left)
             rest = dict(left)
@@ -133,20 +132,13 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
             if not rest[largest]:
                 del rest[largest]
             options = fillings(capacity - largest, rest)
-            branches.append((dict(left), list(plan), used, len(options)))
-            used += _apply(left, (largest, *options[min(turn, len(options) - 1)]), plan)
+            if turn + 1 < len(options):
+                undo.append((dict(left), list(plan), used, turn + 1))
+            used += _apply(left, (largest, *options[turn]), plan)
             turn = 0
         if not left and used < total(best):
             best = plan
-        for past, steps, before, width in reversed(branches[-16:]):  # undo the latest choices first
-            for other in range(1, width):
-                if budget <= 0 or total(best) == bound:
-                    return
-                budget -= 1
-                complete(dict(past), list(steps), before, other)
-
-    if total(best) > bound:
-        complete(dict(counts), [], 0, 0)
+        open_ += undo[-16:]  # the latest choices are undone first
     return best
 
 
@@ -206,17 +198,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     cut = stage(pieces(docs, capacity, path), "packing-pieces")
     tasks = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     # ranks of a task's first piece of each length: at most `capacity` lengths per window
-    from pyspark.sql import Window
-
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = tasks.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     where = places(pack_plan(histogram, capacity))
-    rows = [(s, first, sequence, list(offsets)) for s, runs in where.items() for first, sequence, _, offsets in runs]
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")])
     by_length = {s: (np.array([r[0] for r in runs]), [r[1] for r in runs], [r[3] for r in runs]) for s, runs in where.items()}
     table_of = cut.sparkSession.sparkContext.broadcast(by_length)  # bounded: the plan has a few entries a length
-    del rows
 
     def run(parts):
         known = table_of.value

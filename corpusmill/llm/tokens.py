@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public byte-level BPE vocabulary.
 
-The vocabulary's pre-tokenizer always starts a new piece at a space that
-follows a non-space, so a text splits there without changing any id.  Each
+The vocabulary's pre-tokenizer always starts a new piece at a space or line end
+that follows a non-space, so a text splits there without changing any id; a line
+end before a non-space is a piece of its own.  Each
 worker keeps the ids of the stretches it has met and has the tokenizers library
 encode only new ones, many in one call.  A text with other runs of white space
 goes to the library whole.
@@ -16,7 +17,7 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Entries of each of the two generations of a worker's memory.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     """Place of a public vocabulary file."""
@@ -31,7 +32,7 @@ class Encoder:
     def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         self.tokenizer.encode_special_tokens = True
@@ -40,6 +41,14 @@ class Encoder:
             raise ValueError("ids must fit 16 bits")
         self.opens = np.zeros(1 << 16, bool)  # tokens that start with a space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        self.heads: dict[str, bytes] = {}  # words at the start of a line
+        self.newline = self.whole("\n")
+        self.tails = {c: self.whole(c) for c in ".,;:!?"}  # after a word and before a space, a piece of its own
+        self.speller = Tokenizer(self.tokenizer.model)
+        self.speller.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)} | {32: " \u0120"}
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -48,44 +57,69 @@ class Encoder:
         """Ids of one text, encoded whole by the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of letters only: each is one piece, so the byte alphabet is spelt out and pieces split at spaces."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            spelt = (" " + " ".join(part)).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.speller.encode(spelt, add_special_tokens=False).ids, np.uint16)
+            cuts = (np.flatnonzero(self.opens[ids]) * 2).tolist()
+            raw = ids.tobytes()
+            self.young.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+
     def _learn(self, words: set[str]) -> None:
         """Make ``young`` hold the ids of " " + word for every word."""
         if len(self.young) + len(words) > self.remembered:
             self.old, self.young = self.young, {}
-            words = set(words)
-        known = self.old.keys() & words
-        for w in known:
-            self.young[w] = self.old[w]
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        young, old = self.young, self.old
+        letters, ended, lines, other = [], [], [], []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha():
+                letters.append(w)
+            elif w[-1] in self.tails and w[:-1].isalpha():
+                ended.append(w)
+            elif w[0] == "\n":
+                lines.append(w)
+            else:
+                other.append(w)
+        stems = {w[:-1] for w in ended}
+        for w in stems & old.keys():
+            young[w] = old[w]
+        self._letters(list(stems.difference(young).union(letters)))
+        for w in ended:
+            young[w] = young[w[:-1]] + self.tails[w[-1]]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint16)
             cuts = (np.flatnonzero(self.opens[ids]) * 2).tolist()
-            if len(cuts) != len(part):  # a word of the text holds the space mark's own bytes
-                for w in part:
-                    self.young[w] = self.whole(" " + w)
-                continue
             raw = ids.tobytes()
-            self.young.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+            young.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+        starts = {w[1:-1] if w[-1] in self.tails and w[1:-1].isalpha() else w[1:] for w in lines}
+        fresh = [w for w in starts if w not in self.heads]
+        if len(self.heads) + len(fresh) > self.remembered:
+            self.heads, fresh = {}, list(starts)
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.heads[w] = np.array(e.ids, np.uint16).tobytes()
+        for w in lines:
+            tail = w[-1] in self.tails and w[1:-1].isalpha()
+            young[w] = self.newline + (self.heads[w[1:-1]] + self.tails[w[-1]] if tail else self.heads[w[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text of a batch."""
         out: list[bytes] = [b""] * len(texts)
         for at in range(0, len(texts), 256):
-            parts = {i: texts[i].split(" ") for i in range(at, min(at + 256, len(texts))) if texts[i]}
+            parts = {i: texts[i].replace("\n", " \n").split(" ") for i in range(at, min(at + 256, len(texts))) if texts[i]}
             words = set().union(*(p[1:] for p in parts.values()))
             fresh = words.difference(self.young)
-            odd = {w for w in fresh if not w or w[-1].isspace()}
+            odd = {w for w in fresh if not w or w[-1].isspace() or w[0] == "\n" and w[1].isspace()}
             for i in [i for i, p in parts.items() if p[0][-1:].isspace() or odd and not odd.isdisjoint(p[1:])]:
                 out[i] = self.whole(texts[i])
                 del parts[i]
-            if odd:
-                words -= odd
-                fresh -= odd
+            fresh -= odd
             if fresh:
-                if len(self.young) + len(fresh) > self.remembered:
-                    fresh = words
-                self._learn(fresh)
+                self._learn(words - odd if len(self.young) + len(fresh) > self.remembered else fresh)
             get = self.young.__getitem__
             for i, p in parts.items():
                 out[i] = (self.whole(p[0]) if p[0] else b"") + b"".join(map(get, p[1:]))
