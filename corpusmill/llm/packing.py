@@ -31,7 +31,7 @@ from corpusmill.llm.common import batches, id_and_bytes, partition_number, stage
 from corpusmill.llm.tokens import END, decode_text, encoder
 
 CAPACITY = 1024
-NODES = 400  # bins completed by other than the first filling before the search settles for its incumbent
+NODES = 4000  # bins completed after the first full packing before the search settles for its incumbent
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -121,11 +121,12 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
     total = lambda plan: sum(t for _, t in plan)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     open_ = [(dict(counts), [], 0, 0)]
-    while open_ and nodes >= 0 and total(best) > bound:
+    first = True
+    while open_ and (first or nodes > 0) and total(best) > bound:
         left, plan, used, turn = open_.pop()
-        nodes -= 1
         undo = []
-        while left and used + lower_bound_quick(left, capacity) < total(best):
+        while left and (first or nodes > 0) and used + lower_bound_quick(left, capacity) < total(best):
+            nodes -= not first
             largest = max(left)
             rest = dict(left)
             rest[largest] -= 1
@@ -138,6 +139,7 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
             turn = 0
         if not left and used < total(best):
             best = plan
+        first = False
         open_ += undo[-16:]  # the latest choices are undone first
     return best
 
