@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, packing, simhash, substring
+from corpusmill.llm import decontaminate, licenses, packing, simhash, substring
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op4_packing": packing.op4_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
