@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, licenses, packing, simhash, substring
+from corpusmill.llm import decontaminate, licenses, packing, simhash, substring, token_counts
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_packing": packing.op4_packing,
     "op7_simhash": simhash.op7_simhash,
     "op8_licenses": licenses.op8_licenses,
