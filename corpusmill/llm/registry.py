@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, licenses, packing, simhash, substring, token_counts
+from corpusmill.llm import decontaminate, jpeg, licenses, packing, simhash, substring, token_counts
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_media": jpeg.op10_media,
 }
 
 ORACLES: dict[str, str] = {}
