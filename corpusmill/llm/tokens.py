@@ -55,22 +55,20 @@ class Encoder:
 
     def whole(self, text: str) -> bytes:
         """Ids of one text, encoded whole by the library."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16).tobytes()
 
     def _letters(self, words: list[str]) -> None:
         """Learn words of letters only: each is one piece, so the byte alphabet is spelt out and pieces split at spaces."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             spelt = (" " + " ".join(part)).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.speller.encode(spelt, add_special_tokens=False).ids, np.uint16)
+            ids = np.array(self.speller.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint16)
             cuts = (np.flatnonzero(self.opens[ids]) * 2).tolist()
             raw = ids.tobytes()
             self.young.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
 
     def _learn(self, words: set[str]) -> None:
         """Make ``young`` hold the ids of " " + word for every word."""
-        if len(self.young) + len(words) > self.remembered:
-            self.old, self.young = self.young, {}
         young, old = self.young, self.old
         letters, ended, lines, other = [], [], [], []
         for w in words:
@@ -92,7 +90,7 @@ class Encoder:
             young[w] = young[w[:-1]] + self.tails[w[-1]]
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint16)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             cuts = (np.flatnonzero(self.opens[ids]) * 2).tolist()
             raw = ids.tobytes()
             young.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
@@ -109,20 +107,26 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text of a batch."""
         out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(texts), 256):
-            parts = {i: texts[i].replace("\n", " \n").split(" ") for i in range(at, min(at + 256, len(texts))) if texts[i]}
-            words = set().union(*(p[1:] for p in parts.values()))
-            fresh = words.difference(self.young)
-            odd = {w for w in fresh if not w or w[-1].isspace() or w[0] == "\n" and w[1].isspace()}
-            for i in [i for i, p in parts.items() if p[0][-1:].isspace() or odd and not odd.isdisjoint(p[1:])]:
-                out[i] = self.whole(texts[i])
-                del parts[i]
-            fresh -= odd
+        skip = len(self.newline)  # a text is read as if a line end came before it
+        for at in range(0, len(texts), 64):
+            parts = {i: texts[i].replace("\n", " \n").split(" ") for i in range(at, min(at + 64, len(texts))) if texts[i]}
+            found, fresh = {}, set()
+            for i, p in parts.items():
+                p[0] = "\n" + p[0]
+                found[i] = ids = list(map(self.young.get, p))
+                if None in ids:
+                    fresh.update([w for w, known in zip(p, ids) if known is None])
+            fresh -= {w for w in fresh if not w or w[-1].isspace() or w[0] == "\n" and w[1].isspace()}
             if fresh:
-                self._learn(words - odd if len(self.young) + len(fresh) > self.remembered else fresh)
-            get = self.young.__getitem__
+                if len(self.young) + len(fresh) > self.remembered:
+                    self.old, self.young = self.young, {}
+                self._learn(fresh)
+            get = self.young.get
             for i, p in parts.items():
-                out[i] = (self.whole(p[0]) if p[0] else b"") + b"".join(map(get, p[1:]))
+                ids = found[i]
+                if None in ids:
+                    ids = [get(w) if known is None else known for w, known in zip(p, ids)]
+                out[i] = self.whole(texts[i]) if None in ids else b"".join(ids)[skip:]
         return out
 
 
