@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jpeg, licenses, packing, simhash, substring, token_counts
+from corpusmill.llm import decontaminate, jpeg, licenses, packing, simhash, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_packing": packing.op4_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
