@@ -125,9 +125,16 @@ def ask(blocks: DataFrame, keys: Callable[[dict], tuple[np.ndarray, bytes]], buc
     return blocks.mapInArrow(run, "block long, bucket long, n long, keys binary, payload binary")
 
 
-def answer(asked: DataFrame, decide: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray], per_key: int) -> DataFrame:
+def answer(
+    asked: DataFrame,
+    decide: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray],
+    per_key: int,
+    total: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
+) -> DataFrame:
     """(block, answers): for each block the answers to its keys, in key order, ``per_key`` bytes each.
 
+    With ``total(keys, found)`` block -1 gets a few bytes from each bucket.
+
     ``decide(keys, owner, payload)`` gets all keys of a bucket, the number of the
     asking row of each and the payloads, and returns an array of one answer per key.
     """
@@ -139,10 +146,11 @@ def answer(asked: DataFrame, decide: Callable[[np.ndarray, np.ndarray, bytes], n
         keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64)
         found = decide(keys, np.repeat(np.arange(len(n)), n), b"".join(group["payload"].to_pylist()))
         raw, ends = found.tobytes(), np.cumsum(n) * per_key
-        return pa.table(
-            [group["block"], group["bucket"], pa.array([raw[e - k * per_key : e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())],
-            schema=schema,
-        )
+        block, bucket = group["block"].to_pylist(), group["bucket"].to_pylist()
+        out = [raw[e - k * per_key : e] for e, k in zip(ends.tolist(), n.tolist())]
+        if total and bucket:
+            block, bucket, out = [*block, -1], [*bucket, bucket[0]], [*out, total(keys, found)]
+        return pa.table([pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
     found = asked.groupBy("bucket").applyInArrow(run, "block long, bucket long, found binary")
     parts = F.array_sort(F.collect_list(F.struct("bucket", "found")))

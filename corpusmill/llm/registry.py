@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jpeg, licenses, packing, simhash, substring, token_counts, token_store, toxicity
+from corpusmill.llm import decontaminate, jpeg, licenses, lm, packing, simhash, substring, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_token_store": token_store.op2_token_store,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_packing": packing.op4_packing,
+    "op5_lm": lm.op5_lm,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_licenses": licenses.op8_licenses,
