@@ -1,13 +1,76 @@
-"""The corpus pipeline: stages that each call one training-data operator."""
+"""The corpus pipeline: stages that each call one training-data operator.
+
+Every stage reads all rows its predecessor kept.  Stages that filter or edit
+return the columns of ``documents``, with ``n_chars`` counted anew where the
+text has changed.  Null or empty texts are kept as they are by every stage; rows
+without ``doc_id`` pass the near-duplicate stage, as they can't be told apart by
+id; extra columns are carried along; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusmill.llm import decontaminate, packing, simhash, substring, toxicity
 from corpusmill.llm.common import stage, table
 
-STAGES: list = []
 
+REJECT = 0.5
+
+
+def _shaped(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, lengths counted anew."""
+    if "n_chars" in like.columns:
+        docs = docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return docs.select(*like.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under ``REJECT``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("toxicity") < REJECT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the least id."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has; texts that lose nothing stay as written."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    carried = F.to_json(F.struct(*[F.col(c) for c in rest]))
+    out = substring.substring_dedup(docs.select("doc_id", "text", carried.cast("binary").alias("carried")))
+    schema = docs.select(*rest).schema
+    row = out.select("doc_id", "n_removed", "kept", F.from_json(F.col("carried").cast("string"), schema).alias("r"))
+    cut = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("r.text")).alias("text")
+    others = [F.col(f"r.{c}").alias(c) for c in rest if c != "text"]
+    return _shaped(row.select("doc_id", cut, *others), docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the stretches that a benchmark item has."""
+    return _shaped(decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("substring", drop_repeats),
+    ("decontaminate", drop_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: A trained classifier, tokenizers and a search for few sequences are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
