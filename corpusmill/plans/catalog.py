@@ -1,6 +1,8 @@
-"""Registry of the retrieval, retention and evaluation queries."""
+"""Registry of the retrieval, retention and evaluation queries, with DuckDB statements for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusmill.plans import records, search
+
+QUERIES: dict = {**search.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES}
