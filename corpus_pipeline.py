@@ -42,14 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; texts that lose nothing stay as written."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    carried = F.to_json(F.struct(*[F.col(c) for c in rest]))
-    out = substring.substring_dedup(docs.select("doc_id", "text", carried.cast("binary").alias("carried")))
-    schema = docs.select(*rest).schema
-    row = out.select("doc_id", "n_removed", "kept", F.from_json(F.col("carried").cast("string"), schema).alias("r"))
-    cut = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("r.text")).alias("text")
-    others = [F.col(f"r.{c}").alias(c) for c in rest if c != "text"]
-    return _shaped(row.select("doc_id", cut, *others), docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = F.to_json(F.struct(*[F.col(c) for c in rest])) if rest else F.lit(None).cast("string")
+    out = substring.substring_dedup(docs.select("doc_id", "text", carried.cast("binary").alias("carried")), as_written=True)
+    row = out.select("doc_id", F.col("kept").alias("text"), F.from_json(F.col("carried").cast("string"), docs.select(*rest).schema).alias("r"))
+    return _shaped(row.select("doc_id", "text", *[F.col(f"r.{c}").alias(c) for c in rest]), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

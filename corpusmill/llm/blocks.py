@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import batches, partition_number, raw_values
 
 #: Bytes of text after which a block is closed; one longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Keys that one bucket of an exchange receives on average.
 BUCKET_KEYS = 1 << 20
 

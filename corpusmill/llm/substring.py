@@ -129,10 +129,11 @@ def _second_level(window: int):
     return keys, earliest
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, as_written: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans of removed words [start, end), kept text, and ``carried`` as given.
 
-    ``docs`` has ``doc_id``, ``text`` and may have a binary column ``carried``.
+    ``docs`` has ``doc_id``, ``text`` and may have a binary column ``carried``.  With ``as_written`` a text that
+    loses nothing is given back as it was, null included, and not as words joined by a space.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
@@ -175,7 +176,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     rows["n_words"].append(len(words))
                     rows["n_removed"].append(int(dead.sum()))
                     rows["spans"].append(edges.tolist())
-                    rows["kept"].append(b" ".join(keep))
+                    rows["kept"].append(text if as_written and not len(edges) else b" ".join(keep))
                     rows["carried"].append(block.carried[k])
                 yield batches(rows, schema)
 
