@@ -241,4 +241,10 @@ SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'A' WHEN b.doc_id IS NULL THEN 'D
     "file_list": "SELECT source || '/' || lang || '/' || doc_id AS path FROM documents WHERE regexp_matches(source || '/' || lang || '/' || doc_id, '^src1[^/]*/[ef][^/]/[^/]*5$')",
     "blob_ids": "SELECT doc_id, sha1(concat('blob '::BLOB, strlen(text)::VARCHAR::BLOB, '\\x00'::BLOB, encode(text))) AS sha1_id, sha256(concat('blob '::BLOB, strlen(text)::VARCHAR::BLOB, '\\x00'::BLOB, encode(text))) AS sha256_id FROM documents WHERE text IS NOT NULL".replace("concat(", "(").replace("::BLOB, ", "::BLOB || ").replace("::BLOB || encode", "::BLOB || encode"),
     "parsers": "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'typescript-v1' WHEN 1 THEN 'tsx-v1' WHEN 2 THEN 'typescript-v1' WHEN 4 THEN 'tsx-v1' WHEN 6 THEN 'typescript-v1' ELSE 'lines-v1' END AS parser FROM pages",
+    "phrase_match": r"""WITH d AS (SELECT doc_id, flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[^\p{L}\p{N}_$\-/.]+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> ''),
+ lambda w: list_prepend(lower(w), list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(w, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '[^\p{L}\p{N}]+'), lambda p: lower(p)), lambda p: p <> '' AND p <> lower(w))))))) AS toks FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, flatten(list_transform(toks, lambda t: list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\p{L}\p{N}_]+'), lambda x: x <> ''))) AS st FROM d),
+p AS (SELECT unnest([['0'], ['4'], ['4', '0'], ['by'], ['cc'], ['cc', 'by'], ['com'], ['example'], ['example', 'com']]) AS ph),
+c AS (SELECT doc_id, array_to_string(ph, ' ') AS phrase, len(list_filter(range(1, len(st) - len(ph) + 2), lambda i: st[i:i + len(ph) - 1] = ph)) AS n FROM e, p)
+SELECT doc_id, phrase, n FROM c WHERE n > 0""",
 }
