@@ -16,10 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Bytes and rows of one Arrow batch between Spark and Python: a batch lies in both at once, for every task of an executor.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session no larger than these operators ask for."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

@@ -246,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             known = TestWindows(*tests.value)
             for b in parts:
                 at = {n: k for k, n in enumerate(b.schema.names)}
-                text = b.column(at["__raw"])
+                text = b.column(at["text"]).cast(pa.binary())  # a view of the same bytes
                 found = find_spans(list(raw_values(text)), known)
                 n, spans, items = [x[0] for x in found], [], []
                 for (_, new, names_), old, listed in zip(found, b.column(at["spans"]).to_pylist(), b.column(at["items"]).to_pylist()):
@@ -256,7 +256,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 added = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*kept, *added], names=[*names, "n_words", "spans", "items"])
 
-        out = out.withColumn("__raw", F.col("text").cast("binary")).mapInArrow(run, schema)
+        out = out.mapInArrow(run, schema)
     return out
 
 

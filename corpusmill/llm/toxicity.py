@@ -221,7 +221,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
         positive = common + sorted(set(positive) - set(common))
         spread = [w[:k] + c + w[k:] for w in common for k, c in ((len(w) // 2, "x"), (len(w) // 3, "q"), (-2, w[-2]), (-1, "o"))]
         words = positive + spread + negative  # insults with a letter put in stay insults
-        x = _kernel(features(words), mark_rows) @ whiten
+        x = np.vstack([_kernel(features(words[i : i + 512]), mark_rows) for i in range(0, len(words), 512)]) @ whiten
         y = np.concatenate([np.ones(len(positive) + len(spread)), -np.ones(len(negative))])
         often = np.sqrt([1.0 + seen[1][w] for w in positive])  # a frequent insult must not be traded for rare ones
         often = np.concatenate([often, np.repeat(often[: len(common)], 4) / 4, np.ones(len(negative))])
@@ -305,13 +305,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         known = shared.value
         for b in parts:
             out = []
-            text = b.column(b.schema.get_field_index("__raw"))
+            text = b.column(b.schema.get_field_index("text")).cast(pa.binary())  # a view of the same bytes
             for at in range(0, b.num_rows, 256):
                 out.append(known.scores([decode_text(x) for x in raw_values(text.slice(at, 256))]))
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*names, "toxicity"])
 
-    return docs.withColumn("__raw", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
