@@ -16,7 +16,7 @@ def merged_ranges(ranges: DataFrame, keys: list[str], start: str = "start", end:
 
 
 def shared_lines(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
-    """Length of the intersection of two inclusive ranges."""
+    """Length of the intersection of two inclusive ranges, none of their ends null."""
     return F.greatest(F.lit(0), F.least(end_a, end_b) - F.greatest(start_a, start_b) + 1)
 
 
@@ -32,7 +32,7 @@ def group_overlaps(cited: DataFrame, alternatives: DataFrame, keys: list[str], g
     """
     alt = alternatives.select(*keys, group, F.col("start").alias("__s"), F.col("end").alias("__e"))
     met = alt.join(cited, keys, "left")
-    part = F.coalesce(shared_lines(F.col("start"), F.col("end"), F.col("__s"), F.col("__e")), F.lit(0))
+    part = F.when(F.col("start").isNull(), 0).otherwise(shared_lines(F.col("start"), F.col("end"), F.col("__s"), F.col("__e")))
     covered = met.groupBy(*keys, group, "__s", "__e").agg((F.sum(part) / (F.col("__e") - F.col("__s") + 1)).alias("share"))
     return covered.groupBy(group).agg(F.max("share").alias("share"))
 

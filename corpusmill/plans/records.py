@@ -247,7 +247,7 @@ _MERGED = f"""{_RANGES}, opened AS (SELECT *, CASE WHEN max(e) OVER w IS NULL OR
 islands AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM opened),
 merged AS (SELECT user_id, min(s) AS s, max(e) AS e FROM islands GROUP BY user_id, island)"""
 _OVERLAP = f"""{_MERGED}, alt AS (SELECT c_custkey AS user_id, unnest([0, 400, 900]) AS s FROM customer),
-met AS (SELECT a.user_id, a.s, a.s + a.user_id % 40 AS e, coalesce(sum(greatest(0, least(m.e, a.s + a.user_id % 40) - greatest(m.s, a.s) + 1)), 0) AS n FROM alt a LEFT JOIN merged m USING (user_id) GROUP BY a.user_id, a.s),
+met AS (SELECT a.user_id, a.s, a.s + a.user_id % 40 AS e, sum(CASE WHEN m.s IS NULL THEN 0 ELSE greatest(0, least(m.e, a.s + a.user_id % 40) - greatest(m.s, a.s) + 1) END) AS n FROM alt a LEFT JOIN merged m USING (user_id) GROUP BY a.user_id, a.s),
 shares AS (SELECT 'g-' || user_id AS group_id, max(n / (e - s + 1)) AS share FROM met GROUP BY user_id)"""
 _PAIRS = """pairs AS (SELECT conv_id, max(chars) FILTER (role = 'assistant') - max(chars) FILTER (role = 'user') AS chars_delta, max(turns) FILTER (role = 'assistant') - max(turns) FILTER (role = 'user') AS turns_delta
 FROM (SELECT conv_id, role, sum(length(text))::BIGINT AS chars, count(*) AS turns FROM conversations GROUP BY ALL) GROUP BY conv_id)"""
