@@ -17,7 +17,7 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Entries of each of the two generations of a worker's memory.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     """Place of a public vocabulary file."""
