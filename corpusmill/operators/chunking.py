@@ -68,7 +68,6 @@ def regions(text: str, suffix: str) -> list[tuple[int, int, str | None]]:
                     last = k
                     while last + 1 < end and depths[last + 1 - i] > 1:
                         last += 1
-                    last += last > k
                     out.append((k + 1, min(last, end - 1) + 1, f"{name}.{m['name']}"))
                     k = last
                 k += 1

@@ -50,22 +50,25 @@ def postings(rows: DataFrame, key: str, fields: dict[str, str], underscore: bool
 
 
 def bm25(posted: DataFrame, rows: DataFrame, key: str, terms: list[str], weights: dict[str, float]) -> DataFrame:
-    """(key, score) of the rows that hold a term; statistics cover every row of ``rows``, matched or not."""
-    length = rows.select(key).join(posted.groupBy(key).agg(F.sum("tf").alias("len")), key, "left").select(key, F.coalesce("len", F.lit(0)).alias("len"))
-    corpus = length.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))
+    """(key, score) of the rows that hold a term; statistics cover every row of ``rows``, matched or not.
+
+    Lengths and term counts of a row come from one aggregation of the postings, which the
+    statistics and the scores share; the statistics are a single row.
+    """
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()], F.lit(1.0))
-    hits = posted.filter(F.col("term").isin(terms)).groupBy(key, "term").agg(F.sum(F.col("tf") * weight).alias("f"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return _score(hits.join(F.broadcast(df), "term"), length, corpus, key)
-
-
-def _score(hits: DataFrame, length: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
-    """Scores of ``hits(key, f, df)``; ``corpus`` is one row, hits without a term are few."""
-    joined = hits.join(length, key).crossJoin(F.broadcast(corpus))
-    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy(key).agg(F.sum(part).alias("score"))
+    found = [F.sum(F.when(F.col("term") == t, F.col("tf") * weight)).alias(f"f{i}") for i, t in enumerate(terms)]
+    per_row = posted.groupBy(key).agg(F.sum("tf").alias("len"), *found)
+    corpus = per_row.agg(F.sum("len").alias("total"), *[F.count(f"f{i}").alias(f"df{i}") for i in range(len(terms))])
+    corpus = corpus.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_rows"))))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = F.log((F.col("n_rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
+        f = F.col(f"f{i}")
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") * F.col("n_rows") / F.col("total")))
+        score = score + F.coalesce(part, F.lit(0.0))
+    matched = per_row.filter(F.coalesce(*[F.col(f"f{i}") for i in range(len(terms))]).isNotNull())
+    return matched.crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))
 
 
 def phrase_counts(rows: DataFrame, key: str, text: str, phrases: list[list[str]], underscore: bool = True) -> DataFrame:

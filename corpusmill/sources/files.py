@@ -69,7 +69,7 @@ def tar_members(archives: DataFrame, prefix: str = "") -> DataFrame:
 
 def strict_json(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
     """JSON documents of a fixed schema: malformed ones fail, as do repeated keys and numbers that are not finite."""
-    raw = spark.read.option("wholetext", "true").text(paths)
+    raw = spark.read.text(paths, wholetext=True)
     return raw.select(F.from_json(checked_json("value"), schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 

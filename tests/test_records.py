@@ -152,7 +152,7 @@ def test_sources(spark, tmp_path):
         files.strict_json(spark, str(tmp_path / "bad.json"), schema).collect()
     (tmp_path / "log.jsonl").write_text('{"a": 1, "b": "x"}\n{"a": 2, "b"')
     assert [r.complete for r in files.event_log(spark, str(tmp_path / "log.jsonl"), schema).orderBy(F.desc("complete")).collect()] == [True, False]
-    listing = spark.createDataFrame([("100644 blob aa\tx y\0120000 blob bb\tz\0",)], "value string")
+    listing = spark.createDataFrame([("100644 blob aa\tx y\x00120000 blob bb\tz\x00",)], "value string")
     assert sorted(map(tuple, files.tree_listing(listing).collect())) == [("x y", "aa", "100644"), ("z", "bb", "120000")]
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as tar:
