@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import records, search
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {**search.QUERIES, **records.QUERIES}
-ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES}
+from corpusmill.plans import records, reports, search
+
+QUERIES: dict = {**search.QUERIES, **records.QUERIES, **reports.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **reports.ORACLES}
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """(name, oracle, about): the queries as a table that programs can read."""
+    rows = [(n, n in ORACLES, (f.__doc__ or "").strip().split("\n")[0]) for n, f in sorted(QUERIES.items())]
+    return spark.createDataFrame(rows, "name string, oracle boolean, about string")
