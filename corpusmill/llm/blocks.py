@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import batches, partition_number, raw_values
+from corpusmill.llm.common import batches, begin, partition_number, raw_values
 
 #: Bytes of text after which a block is closed; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -50,10 +50,11 @@ def _unpack(lengths: bytes, body: bytes) -> list:
     return out
 
 
-def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, owner: str = "") -> DataFrame:
     """Blocks of ``docs(doc_id long, raw binary, carried binary)``."""
 
     def run(parts):
+        begin(owner)
         squeeze, first, count = zstandard.ZstdCompressor(3), partition_number() << 32, 0
         ids: list = []
         texts: list = []
@@ -105,6 +106,7 @@ def ask(blocks: DataFrame, keys: Callable[[dict], tuple[np.ndarray, bytes]], buc
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("payload", pa.binary())])
 
     def run(parts):
+        begin()
         for b in parts:
             for row in rows_of(b):
                 found, payload = keys(row)

@@ -6,8 +6,11 @@ so a lost executor only repeats the tasks that read them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Bytes and rows of one Arrow batch between Spark and Python: a batch lies in both at once, for every task of an executor.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2048
+ROW_GROUP_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -50,7 +54,8 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    # a task's open row group lies in its executor's heap, so it is kept small
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
@@ -89,6 +94,23 @@ def raw_values(column: pa.Array) -> Iterator[bytes | None]:
         yield column[i].as_py()
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str = "", forget: Callable[[], None] | None = None) -> None:
+    """Start a task of one operator: what a reused worker remembers for other operators goes back to the machine."""
+    others = [name for name in _remembered if name != owner]
+    for name in others:
+        _remembered.pop(name)()
+    if forget:
+        _remembered[owner] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partition_number() -> int:
     """Number of the running task's partition."""
     context = TaskContext.get()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import alnum_words, batches, raw_values, stage, table
+from corpusmill.llm.common import alnum_words, begin, raw_values, table
 
 WINDOW = 10
 #: Text bytes of the benchmark items of one pass; a proven bound on what is broadcast.
@@ -243,6 +243,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         schema = out.schema
 
         def run(parts, tests=tests):
+            begin()
             known = TestWindows(*tests.value)
             for b in parts:
                 at = {n: k for k, n in enumerate(b.schema.names)}

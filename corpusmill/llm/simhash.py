@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_space_words, batches, id_and_bytes, raw_values, stage, table
+from corpusmill.llm.common import ascii_space_words, batches, begin, id_and_bytes, raw_values, stage, table
 
 SHINGLE, BITS, SEED = 4, 4, 42
 HOT = 2048  # fingerprints of one posting list that are compared with each other in one task
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(parts):
+        begin()
         for b in parts:
             yield batches({"doc_id": b.column(0), "fp": [fingerprint(x, shingle) for x in raw_values(b.column(1))]}, schema)
 

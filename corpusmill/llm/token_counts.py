@@ -26,7 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm.common import batches, id_and_bytes, raw_values, table
+from corpusmill.llm.common import batches, begin, id_and_bytes, raw_values, table
 from corpusmill.llm.tokens import decode_text, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
@@ -117,6 +117,7 @@ _counters: dict[str, Counter] = {}
 def counter(path: str | None = None) -> Counter:
     """This worker's counter for a piece list."""
     key = path or vocabulary_path(PIECES)
+    begin("token_counts", _counters.clear)
     if key not in _counters:
         _counters[key] = Counter(*unigram_vocabulary(key))
     return _counters[key]

@@ -14,6 +14,8 @@ import os
 
 import numpy as np
 
+from corpusmill.llm.common import begin
+
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Entries of each of the two generations of a worker's memory.
@@ -136,6 +138,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     key = path or vocabulary_path()
+    begin("tokens", _encoders.clear)
     if key not in _encoders:
         _encoders[key] = Encoder(key)
     return _encoders[key]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import batches, id_and_bytes, raw_values, table
+from corpusmill.llm.common import begin, id_and_bytes, raw_values, table
 from corpusmill.llm.tokens import decode_text
 
 #: Bounds of the labelled sample that the classifier is fitted on.
@@ -41,7 +41,7 @@ TOXIC, CLEAN = 1500, 2500
 FOLDS, HELD_OUT = 5, 0
 LETTERS, SPAN, DECAY = 32, 7, 0.6
 LANDMARKS = 256
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 #: Letters a-z keep their place; other letters fold into the last codes.
 _SPLIT = re.compile(r"[\s.!?,;:\"()\[\]{}<>/\\|]+")
@@ -179,7 +179,7 @@ class Model:
         split = [candidates(t) for t in texts]
         fresh = list(set().union(*split).difference(self.known)) if split else []
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
+            self.known.clear()
             fresh = list(set().union(*split))
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
@@ -303,6 +303,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(parts):
         known = shared.value
+        begin("toxicity", known.known.clear)
         for b in parts:
             out = []
             text = b.column(b.schema.get_field_index("text")).cast(pa.binary())  # a view of the same bytes
