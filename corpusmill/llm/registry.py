@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jpeg, licenses, lm, packing, simhash, substring, token_counts, token_store, toxicity
+from corpusmill.llm import decontaminate, jpeg, licenses, lm, packing, simhash, sql, substring, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_media": jpeg.op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring": sql.SUBSTRING, "op9_decontaminate": sql.DECONTAMINATE}
