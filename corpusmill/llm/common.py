@@ -25,7 +25,11 @@ ROW_GROUP_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session no larger than these operators ask for."""
+    """Keep this session's buffers outside the heap small: Arrow batches, and whole column chunks read in one go.
+
+    Vectored reads keep a direct buffer of a chunk's size for each reading thread.
+    """
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
     for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         key = f"spark.sql.execution.arrow.{name}"
         now = int("".join(c for c in spark.conf.get(key) if c.isdigit()) or 0)
