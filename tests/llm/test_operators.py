@@ -267,6 +267,23 @@ def test_lm_gradients_and_sums():
     assert total.shape == (1,)
 
 
+def test_lm_trains_on_every_chunk(spark):
+    r = np.random.default_rng(5)
+    texts = [(i, " ".join(f"v{x}" for x in r.integers(0, 999, n))) for i, n in enumerate([0, 1, 7, 60_000, 16, 60_001, 500])] + [(None, "a b"), (3, None)]
+    blocks = lm.to_id_blocks(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = collections.Counter()
+    for p in lm.training_pieces(blocks).collect():
+        chunks = np.frombuffer(p.chunks, np.int64)
+        assert chunks.sum() <= lm.PIECE
+        got.update(w.tobytes() for w in lm.windows_of_piece(chunks, np.frombuffer(p.ids, np.uint16)))
+    want = collections.Counter()
+    kept = [t for i, t in texts if not lm.is_held_out(i)]
+    for ids in lm.word_ids([t and t.encode() for t in kept]):
+        ids = np.append(np.frombuffer(ids, np.uint16), np.uint16(lm.END_ID))
+        want.update(w.tobytes() for w in lm._windows_of(ids, np.arange(-(-len(ids) // lm.CHUNK))).astype(np.uint16))
+    assert sum(want.values()) > lm.PIECE and got == want
+
+
 def test_lm_learns():
     r = np.random.default_rng(2)
     ids = np.tile(np.arange(1, 9), 40).astype(np.uint16)
