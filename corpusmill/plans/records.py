@@ -67,7 +67,7 @@ def output_regions(spark, sf_dir):
 
 def output_rank(spark, sf_dir):
     """Ranked regions inside each stream: statistics are those of the stream alone."""
-    regions = streams.stream_regions(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text").withColumn("region", F.concat_ws(":", "doc_id", "position"))
+    regions = streams.stream_regions(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("region", F.concat_ws(":", "doc_id", "position"))
     posted = rank.postings(regions, "region", {"body": "body"}, underscore=False)
     owner = regions.select("region", "doc_id", "position")
     lengths = owner.join(posted.groupBy("region").agg(F.sum("tf").alias("len")), "region", "left").withColumn("len", F.coalesce("len", F.lit(0)))

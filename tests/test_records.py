@@ -1,6 +1,8 @@
 """Streams, versions, evaluation, audit and validation on small fixtures."""
 
+import collections
 import hashlib
+import math
 import subprocess
 
 import pytest
@@ -47,6 +49,32 @@ def test_regions_cover(text):
         raw[s:e].decode()
 
 
+def brute_rank(text, terms=("the", "license")):
+    """The best five regions of one stream of plain lower-case words, by BM25 over its own regions."""
+    raw = text.encode()
+    counts = [collections.Counter(raw[s:e].decode().split()) for s, e, _ in streams.regions(raw)]
+    mean, scores = sum(sum(c.values()) for c in counts) / max(1, len(counts)), []
+    df = {t: sum(t in c for c in counts) for t in terms}
+    for i, c in enumerate(counts):
+        if any(t in c for t in terms):
+            idf = {t: math.log((len(counts) - df[t] + 0.5) / (df[t] + 0.5)) for t in terms}
+            scores.append((-round(sum((idf[t] if idf[t] > 0 else 1e-6) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t in terms), 9), i))
+    return [(i, r, -s) for r, (s, i) in enumerate(sorted(scores)[:5], 1)]
+
+
+def test_output_rank_ranks_streams_of_all_languages(spark, tmp_path):
+    from corpusmill.plans.records import output_rank
+
+    lines = ["some words here", "the words of this line", "a license", "the license of the words"]
+    texts = {i: "\n".join(lines[(k * k // (7 + i) + k // 90) % 4 if k // 60 % 3 or i == 3 else 0] for k in range(n)) + "\n" for i, n in enumerate([900, 700, 300, 40])}
+    rows = [(i, texts[i], lang) for i, lang in enumerate(["en", "de", None, "fr"])] + [(4, None, "en"), (5, "", "de"), (6, "no such word", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.position, r["rank"], r.score) for r in output_rank(spark, str(tmp_path)).collect())
+    want = sorted((i, *x) for i, t, _ in rows for x in brute_rank(t or ""))
+    assert {w[0] for w in want} == {0, 1, 2, 3} and max(w[2] for w in want) == 5
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want))
+
+
 def test_excerpt():
     body = "".join(f"line {i}\n" for i in range(40)) + "the token is here\n" + "tail\n" * 20
     s, e, before, after = streams.stream_excerpt(body, ["token"])
