@@ -367,6 +367,21 @@ def test_simhash(spark, small, documents, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT, 1])
+def test_rows_without_id_join_groups(spark, hot):
+    """A chain of texts, each one word from the next; only its ends have ids."""
+    r = np.random.default_rng(11)
+    text, chain = [f"w{x}" for x in r.integers(0, 9999, 3000)], []
+    for k in range(25):
+        chain.append((None, " ".join(text)))
+        text[100 * k + 50] = "other"
+    docs = [(9, chain[0][1]), *chain[1:-1], (4, chain[-1][1])]
+    want = brute_groups(docs)
+    ends = [int(p, 16) for i, p, _ in want if i]
+    assert {x for _, _, x in want} == {4} and (ends[0] ^ ends[1]).bit_count() > 4
+    assert rows(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot), "doc_id", "fingerprint", "component_id") == want
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 3])
 def test_links_of_dense_fingerprints(spark, hot):
     r = np.random.default_rng(3)
