@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import alnum_words, begin, raw_values, table
+from corpusmill.llm.common import alnum_words, begin, raw_values, stage, table
 
 WINDOW = 10
 #: Text bytes of the benchmark items of one pass; a proven bound on what is broadcast.
 BLOCK_BYTES = 4 << 20
+STAGE_BLOCKS = 8  # blocks that are searched for in one chain; then the result is staged
 SAMPLE = 8
 #: Indexed symbols of one shard; a task with more builds several shards.
 SHARD_SYMBOLS = 1 << 20
@@ -231,14 +232,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """``docs`` with n_words, spans (merged, of word numbers) and items (sorted) added.
 
     One pass over ``docs`` for each block of the benchmark; most benchmarks are one block.
+    Blocks are taken one at a time, and the result is staged after every ``STAGE_BLOCKS``.
     """
     taken = {"n_words", "spans", "items"} & set(docs.columns)
     if taken:
         docs = docs.drop(*taken)
     names = docs.columns
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")})
-    blocks = list(benchmark_blocks(benchmark, block_bytes)) if block_bytes >= BLOCK_BYTES else benchmark_blocks(benchmark, block_bytes)
-    for block in blocks:
+    for k, block in enumerate(benchmark_blocks(benchmark, block_bytes)):
+        if k and k % STAGE_BLOCKS == 0:
+            out = stage(out, "decontaminate")
         tests = docs.sparkSession.sparkContext.broadcast((block, window))
         schema = out.schema
 

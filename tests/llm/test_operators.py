@@ -1,10 +1,12 @@
 """The ten operators and the pipeline against brute force, on the small tables and on rows made to be awkward."""
 
 import collections
+import gc
 import hashlib
 import math
 import re
 import struct
+import weakref
 import zlib
 
 import numpy as np
@@ -469,6 +471,36 @@ def test_decontaminate_awkward(spark, awkward, empty, block):
     assert {r.text for r in decontaminate.remove_contamination(awkward, bench.limit(0)).collect()} == {t for _, t in AWKWARD}
 
 
+class OneBlock(list):
+    """A benchmark block that can be watched."""
+
+
+def test_benchmark_is_not_held_whole(spark, awkward, monkeypatch):
+    seen, alive = [], []
+
+    def blocks(benchmark, block_bytes):
+        for k in range(4):
+            block = OneBlock([(str(k), b"w7 W8")])
+            seen.append(weakref.ref(block))
+            yield block
+            del block
+            gc.collect()
+            alive.append(sum(x() is not None for x in seen))
+
+    monkeypatch.setattr(decontaminate, "benchmark_blocks", blocks)
+    decontaminate.find_contamination(awkward, awkward)
+    assert len(seen) == 4 and max(alive) == 1
+
+
+def test_many_benchmark_blocks(spark, awkward, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STAGE_BLOCKS", 2)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert len(list(decontaminate.benchmark_blocks(bench, 5))) > 4
+    found = decontaminate.find_contamination(awkward, bench, block_bytes=5).collect()
+    got = [(r.doc_id, r.n_words, sum(e - s for s, e in r.spans), len(r["items"])) for r in found]
+    assert sorted(got, key=repr) == [x[:4] for x in brute_hits(AWKWARD, ITEMS)]
+
+
 def test_fm_index():
     r = np.random.default_rng(6)
     for n in (1, 2, 50, 400):
