@@ -2,14 +2,14 @@
 
 Every stage reads all rows its predecessor kept.  Stages that filter or edit
 return the columns of ``documents``, with ``n_chars`` counted anew where the
-text has changed.  Null or empty texts are kept as they are by every stage; rows
-without ``doc_id`` pass the near-duplicate stage, as they can't be told apart by
-id; extra columns are carried along; empty tables give empty results.
+text has changed.  Null or empty texts are never edited; the near-duplicate stage
+takes texts without words for copies of each other and keeps the one of least id.
+Rows without ``doc_id`` pass that stage, as they can't be told apart by id; extra columns are carried along; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, packing, simhash, substring, toxicity
@@ -33,10 +33,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each near-duplicate group one row of the least id: of least fingerprint and then the first by its columns."""
+    fps = stage(simhash.fingerprints(docs), "simhash-fps")
+    first = fps.join(simhash.groups_of(fps), "fp").filter("doc_id = component_id")
+    first = first.groupBy("doc_id", "component").agg(F.min("fp").alias("__fp")).select(F.col("doc_id").alias("__id"), "__fp")
+
+    @F.pandas_udf("long")
+    def fp(raw):
+        import pandas as pd
+
+        return pd.Series([simhash.fingerprint(x) for x in raw], dtype="int64")
+
+    known = docs.filter("doc_id IS NOT NULL").withColumn("__fp", fp(F.col("text").cast("binary")))
+    known = known.join(first.withColumnRenamed("__fp", "__own"), (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__own")))
+    order = Window.partitionBy("doc_id", "__fp").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    named = known.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*docs.columns)
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -204,15 +204,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         digest = now
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row of ``docs``."""
-    fps = stage(fingerprints(docs), "simhash-fps")
+def groups_of(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """``fp``, ``component`` (its least fingerprint) and ``component_id`` (its least id) of the distinct fingerprints of ``fps``."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))
     groups = components(links(distinct.select("fp", "node"), bits, hot))
     placed = distinct.join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    return placed.join(ids, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row of ``docs``."""
+    fps = stage(fingerprints(docs), "simhash-fps")
+    return fps.join(groups_of(fps, bits, hot), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

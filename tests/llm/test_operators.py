@@ -564,6 +564,19 @@ def test_frame_header():
 # The pipeline.
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    r = np.random.default_rng(3)
+    a, b, c = (" ".join(f"w{x}" for x in r.integers(0, 9999, 200)) for _ in range(3))
+    docs = [(1, a, "x"), (2, a, "x"), (2, b, "z"), (2, b, "y"), (2, c, "x"), (3, b, "x"), (None, a, "x"), (5, "", "x"), (6, None, "x")]
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(parts)
+        assert rows(P.drop_near_duplicates(spark, df, ""), "doc_id", "text", "source") == sorted(
+            [(1, a, "x"), (2, b, "y"), (2, c, "x"), (None, a, "x"), (5, "", "x")], key=repr
+        )
+
+
 def test_pipeline(spark, small, awkward, empty):
     import corpus_pipeline as P
 
