@@ -33,7 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group one row of the least id: of least fingerprint and then the first by its columns."""
+    """Of each near-duplicate group one row of the least id: of least fingerprint and then the first by its columns.
+
+    Near means op7's rule: shingles of 4 words and at most 4 of 64 bits.
+    """
     fps = stage(simhash.fingerprints(docs), "simhash-fps")
     first = fps.join(simhash.groups_of(fps), "fp").filter("doc_id = component_id")
     first = first.groupBy("doc_id", "component").agg(F.min("fp").alias("__fp")).select(F.col("doc_id").alias("__id"), "__fp")
