@@ -2,12 +2,14 @@
 
 Only the lengths matter to a packing, and there are at most ``capacity``
 different ones, so the plan is made on a histogram whose size does not depend
-on the data.  The largest length still open is completed by one of its
-undominated fillings (no filling of it fits the same room and is at least as
-full, item for item), the fullest first; a filling is applied as many times at
-once as the counts allow.  Branch and bound tries the next fillings while the
-waste bound leaves room for a better result than the incumbent, which starts as
-best-fit decreasing.  Pieces then take the places of their length by rank:
+on the data.  The largest length still open is completed by its undominated
+fillings, those that waste least first: no length on hand fits beside a filling,
+and its items can't be laid into those of an earlier one.  A filling is
+applied as many times at once as counts and waste allow, then fewer times, so the enumeration is whole.  Branch and bound
+starts with best-fit decreasing as its incumbent; what a better packing may
+waste in all is known from it, and a branch that wastes more is cut.  The
+search is depth-first; it ends with the lower bound, with all branches tried, or
+after ``nodes`` completions (``nodes=None``: never).  Pieces then take the places of their length by rank:
 counts per task and length give each task its first rank of a length, so no
 length's pieces ever meet in one task.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -28,53 +31,82 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batches, id_and_bytes, partition_number, stage, table
-from corpusmill.llm.tokens import END, decode_text, encoder
+from corpusmill.llm.tokens import END, encoder
 
 CAPACITY = 1024
-NODES = 4000  # bins completed after the first full packing before the search settles for its incumbent
+NODES = 10_000  # completions after which the search settles for its incumbent
+
+
+def pieces_of(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number, start, length) of the pieces of texts of so many ids; all but a text's first are full."""
+    count = -(-lengths // capacity)
+    text = np.repeat(np.arange(len(lengths)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    first = (lengths - (count - 1) * capacity)[text]
+    return text, number, np.where(number, first + (number - 1) * capacity, 0), np.where(number, capacity, first)
+
+
+class Nodes:
+    """Completions that a search may still look at; ``None``: any number."""
+
+    def __init__(self, most: int | None):
+        self.left = most
+
+    def spend(self) -> bool:
+        """Whether one more may be looked at."""
+        if self.left is not None:
+            self.left -= 1
+        return self.left is None or self.left >= 0
+
+
+def fillings(room: int, counts: dict[int, int], waste: int, nodes: Nodes) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from the lengths on hand that leave at most ``waste`` free, fullest first, then by larger items."""
+    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    whole = (1 << room + 1) - 1
+    reach = [1] * (len(sizes) + 1)  # bit t: the sizes from here on can add up to t
+    for i in reversed(range(len(sizes))):
+        bits, n, step = reach[i + 1], min(counts[sizes[i]], room // sizes[i]), 1
+        while n:
+            take = min(step, n)
+            bits |= bits << take * sizes[i]
+            n, step = n - take, step * 2
+        reach[i] = bits & whole
+    found: list[tuple[int, ...]] = []
+
+    def add_up(i: int, rest: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield items
+            return
+        for j in range(i, len(sizes)):
+            if not reach[j] >> rest & 1:
+                return
+            for k in range(min(counts[sizes[j]], rest // sizes[j]), 0, -1):
+                if reach[j + 1] >> rest - k * sizes[j] & 1:
+                    yield from add_up(j + 1, rest - k * sizes[j], items + (sizes[j],) * k)
+
+    for free in range(min(waste, room) + 1):
+        if reach[0] >> room - free & 1:
+            for items in add_up(0, room - free, ()):
+                if not nodes.spend():
+                    return
+                spent = Counter(items)
+                fits = any(s <= free and n > spent[s] for s, n in counts.items()) if free else False
+                if not fits and not any(_dominated(items, f) for f in found):
+                    found.append(items)
+                    yield items
 
 
-def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` ids; all but the first are full."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
-
+def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the items of ``a`` can be laid into the items of ``b``, several into one where they fit."""
+    if len(a) < len(b) or sum(a) > sum(b):
+        return False
 
-def fillings(room: int, counts: dict[int, int], most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths on hand, fullest first, at most ``most``.
+    def lay(k: int, free: tuple[int, ...]) -> bool:
+        if k == len(a):
+            return True
+        return any(lay(k + 1, free[:j] + (f - a[k],) + free[j + 1 :]) for f, j in {f: j for j, f in enumerate(free)}.items() if f >= a[k])
 
-    Reachable sums are found by a bounded subset-sum over lengths in falling
-    order; each sum keeps the filling with the fewest and so the largest items.
-    """
-    best: dict[int, tuple[int, ...]] = {0: ()}
-    for size in sorted((s for s in counts if s <= room), reverse=True):
-        for total, items in sorted(best.items()):
-            for _ in range(min(counts[size], (room - total) // size)):
-                total, items = total + size, (*items, size)
-                if total in best and len(best[total]) <= len(items):
-                    continue
-                best[total] = items
-        if room in best:
-            break
-    full = sorted(best, reverse=True)
-    kept = []
-    for total in full:
-        if len(kept) == most:
-            break
-        slack = room - total
-        if total and not any(_dominated(best[total], k) for k in kept) and not any(s <= slack for s in _left(counts, best[total])):
-            kept.append(best[total])
-    return kept or [best[full[0]]]
-
-
-def _left(counts: dict[int, int], used: tuple[int, ...]):
-    spent = Counter(used)
-    return (s for s, n in counts.items() if n > spent[s])
-
-
-def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether every item of ``a`` can give way to a different item of ``b`` at least as large."""
-    return len(a) <= len(b) and all(x <= y for x, y in zip(sorted(a, reverse=True), sorted(b, reverse=True)))
+    return lay(0, b)
 
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
@@ -102,53 +134,64 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return plan
 
 
-def _apply(left: dict[int, int], items: tuple[int, ...], plan: list, most: int | None = None) -> int:
+def _apply(left: dict[int, int], items: tuple[int, ...], plan: list) -> None:
     use = Counter(items)
     times = min(left[s] // n for s, n in use.items())
-    times = min(times, most) if most else times
     for s, n in use.items():
         left[s] -= n * times
         if not left[s]:
             del left[s]
     plan.append((items, times))
-    return times
 
 
-def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[tuple[int, ...], int]]:
     """The packing of a histogram of lengths: (lengths of one sequence, how many such sequences)."""
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
-    total = lambda plan: sum(t for _, t in plan)
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
-    open_ = [(dict(counts), [], 0, 0)]
-    first = True
-    while open_ and (first or nodes > 0) and total(best) > bound:
-        left, plan, used, turn = open_.pop()
-        undo = []
-        while left and (first or nodes > 0) and used + lower_bound_quick(left, capacity) < total(best):
-            nodes -= not first
-            largest = max(left)
-            rest = dict(left)
-            rest[largest] -= 1
-            if not rest[largest]:
-                del rest[largest]
-            options = fillings(capacity - largest, rest)
-            if turn + 1 < len(options):
-                undo.append((dict(left), list(plan), used, turn + 1))
-            used += _apply(left, (largest, *options[turn]), plan)
-            turn = 0
-        if not left and used < total(best):
-            best = plan
-        first = False
-        open_ += undo[-16:]  # the latest choices are undone first
+    volume, least, left = sum(s * n for s, n in counts.items()), sum(t for _, t in best), dict(counts)
+    path: list[tuple[tuple[int, ...], int]] = []
+    options: list[Iterator] = []  # what is still to be tried at each depth
+    wasted, budget = 0, Nodes(nodes)
+
+    def choices(largest: int, spare: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        rest = Counter(left)
+        rest[largest] -= 1
+        for items in fillings(capacity - largest, +rest, spare, budget):
+            bin_ = (largest, *items)
+            most = min(left[s] // n for s, n in Counter(bin_).items())
+            free = capacity - sum(bin_)
+            for times in range(min(most, spare // free) if free else most, 0, -1):
+                yield bin_, times
+
+    while least > bound:
+        if left:
+            options.append(choices(max(left), (least - 1) * capacity - volume - wasted))
+        else:
+            least = sum(t for _, t in path)
+            best = list(path)
+        while options:
+            if len(path) == len(options):  # the last choice is undone
+                items, times = path.pop()
+                wasted -= (capacity - sum(items)) * times
+                for s in items:
+                    left[s] = left.get(s, 0) + times
+            choice = next(options[-1], None) if budget.spend() else None
+            if choice:
+                break
+            options.pop()
+        else:
+            return best
+        items, times = choice
+        wasted += (capacity - sum(items)) * times
+        for s in items:
+            left[s] -= times
+            if not left[s]:
+                del left[s]
+        path.append(choice)
     return best
 
 
-def lower_bound_quick(counts: dict[int, int], capacity: int) -> int:
-    """The volume bound."""
-    return ceil(sum(s * n for s, n in counts.items()) / capacity)
-
-
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int, tuple[int, ...]]]]:
     """For each length its places in rank order: (first rank, first sequence, per sequence, offsets)."""
     out: dict[int, list] = {}
@@ -178,19 +221,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     schema = pa.schema(fields)
 
     def run(parts):
-        part, seen, encode = partition_number(), Counter(), encoder(path).encode
+        part, seen, encode = partition_number(), np.zeros(capacity + 1, np.int64), encoder(path).encode
         for b in parts:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                rows: dict[str, list] = {n: [] for n, _ in fields}
-                for doc, ids in zip(some.column(0).to_pylist(), encode([decode_text(x) for x in some.column(1).to_pylist()])):
-                    wide = np.append(np.frombuffer(ids, np.uint16), np.uint16(END)).astype("<u4")
-                    for k, (s, n) in enumerate(piece_bounds(len(wide), capacity)):
-                        values = (doc, k, s, n, zlib.crc32(wide[s : s + n].tobytes()), part, seen[n])
-                        seen[n] += 1
-                        for name, v in zip(rows, values):
-                            rows[name].append(v)
-                yield batches(rows, schema)
+            ids, bounds = encode(b.column(1))
+            wide = np.insert(ids, bounds[1:], np.uint16(END)).astype("<u4")
+            bounds = bounds + np.arange(len(bounds))
+            doc, piece, start, length = pieces_of(np.diff(bounds), capacity)
+            begins = bounds[doc] + start
+            order = np.argsort(length, kind="stable")
+            sizes, first = np.unique(length[order], return_index=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.repeat(first, np.diff(first, append=len(length)))
+            nth += seen[length]
+            seen[sizes] += np.diff(first, append=len(length))
+            crc = [zlib.crc32(wide[s:e]) for s, e in zip(begins.tolist(), (begins + length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc)), *(pa.array(x, t) for x, (_, t) in zip((piece, start, length, crc, np.full(len(doc), part), nth), fields[1:]))],
+                schema=schema,
+            )
 
     return id_and_bytes(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")
 
