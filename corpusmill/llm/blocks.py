@@ -31,10 +31,10 @@ _ARROW = pa.schema(
 
 
 class Block:
-    """The documents of one block: ids (-1 and not known for null), texts as bytes (None for null), carried bytes."""
+    """The documents of one block: ids (-1 and not known for null) and texts as bytes (None for null)."""
 
-    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, texts: list, carried: list):
-        self.number, self.ids, self.known, self.texts, self.carried = number, ids, known, texts, carried
+    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, texts: list):
+        self.number, self.ids, self.known, self.texts = number, ids, known, texts
 
 
 def _pack(values: list) -> tuple[bytes, bytes]:
@@ -51,7 +51,7 @@ def _unpack(lengths: bytes, body: bytes) -> list:
 
 
 def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, owner: str = "") -> DataFrame:
-    """Blocks of ``docs(doc_id long, raw binary, carried binary)``."""
+    """Blocks of ``docs(doc_id long, raw binary)``, with a third column, if any, carried along as Arrow data."""
 
     def run(parts):
         begin(owner)
@@ -62,37 +62,50 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, owner: str = "")
 
         def close():
             lengths, body = _pack(texts)
-            more, extra = _pack(carried)
             row = (
                 first + count, len(ids), np.array([-1 if i is None else i for i in ids], np.int64).tobytes(),
-                np.array([i is not None for i in ids]).tobytes(), lengths, squeeze.compress(body), squeeze.compress(more + extra),
+                np.array([i is not None for i in ids]).tobytes(), lengths, squeeze.compress(body), squeeze.compress(_arrow_bytes(carried)),
             )
             return batches({f.name: [v] for f, v in zip(_ARROW, row)}, _ARROW)
 
         size = 0
         for b in parts:
-            for i, text, extra in zip(b.column(0).to_pylist(), raw_values(b.column(1)), raw_values(b.column(2))):
+            at = 0  # rows of the batch whose carried values are in closed blocks
+            for n, (i, text) in enumerate(zip(b.column(0).to_pylist(), raw_values(b.column(1)))):
                 if ids and size + len(text or b"") > block_bytes:
+                    carried += [c.slice(at, n - at) for c in b.columns[2:3] if n > at]
+                    at = n
                     yield close()
                     count, size, ids, texts, carried = count + 1, 0, [], [], []
                 ids.append(i)
                 texts.append(text)
-                carried.append(extra)
                 size += len(text or b"")
+            carried += [c.slice(at) for c in b.columns[2:3] if b.num_rows > at]
         if ids:
             yield close()
 
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _arrow_bytes(parts: list) -> bytes:
+    if not parts:
+        return b""
+    column, sink = pa.concat_arrays(parts), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([pa.field("carried", column.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column], names=["carried"]))
+    return sink.getvalue().to_pybytes()
+
+
 def open_block(row: dict) -> Block:
     """The block of a row with the columns of ``BLOCK_SCHEMA``."""
-    opened = zstandard.ZstdDecompressor()
-    extra, n = opened.decompress(row["carried"]), 8 * row["rows"]
-    return Block(
-        row["block"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool),
-        _unpack(row["lengths"], opened.decompress(row["body"])), _unpack(extra[:n], extra[n:]),
-    )
+    body = zstandard.ZstdDecompressor().decompress(row["body"])
+    return Block(row["block"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), _unpack(row["lengths"], body))
+
+
+def carried_of(row: dict) -> pa.Array | None:
+    """The carried values of a block's documents, as they were."""
+    raw = zstandard.ZstdDecompressor().decompress(row["carried"])
+    return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks() if raw else None
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -189,7 +202,7 @@ def word_hashes(raw: bytes | None) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, from its bytes at once."""
     if not raw:
         return np.zeros(0, np.uint64)
-    a = np.frombuffer(raw, np.uint8)
+    a = np.frombuffer(raw, np.uint8)  # eight bytes of temporaries a byte, for one text at a time
     inside = ~((a == 32) | ((a >= 9) & (a <= 13)))
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
