@@ -10,7 +10,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Bytes and rows of one Arrow batch between Spark and Python: a batch lies in both at once, for every task of an executor.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 2048
 ROW_GROUP_BYTES = 16 << 20
@@ -44,13 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set and all runs in one JVM."""
+    """The cluster's shared folder; where none is set, as in tests of one JVM, a folder beside the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_FALLBACK
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -64,6 +63,30 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, or the first like it that no column has."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+#: Most rows of a join's other side that are broadcast because their keys are hot.
+HOT_KEYS = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose keys are unique and which tells in ``uses`` how many rows of ``left`` have each.
+
+    A key with more than a ``HOT_KEYS``-th of the ``total`` rows is hot: there are fewer than ``HOT_KEYS`` of
+    them, so they are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    most = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.filter(F.col(uses) > most).drop(uses))
+    cold = right.filter(F.col(uses) <= most).drop(uses)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def id_and_bytes(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the UTF-8 bytes of ``text``; every other column is pruned before Python sees a row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))

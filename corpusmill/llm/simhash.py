@@ -6,9 +6,11 @@ values at three positions.  Its twenty position triples form a Turan system:
 every choice of four of the eight positions contains one of them, so a pair
 that can link always meets.  For each pair that meets, the shared positional
 bytes are tallied, pairs with at least four are retained, and the Hamming
-distance verifies them.  Copies share one fingerprint and so one posting; a
-posting list longer than ``HOT`` is linked through bit-flip keys instead, which
-costs a fixed number of rows per fingerprint and never a pair.
+distance verifies them.  Copies share one fingerprint and so one posting.  A
+posting list longer than ``HOT`` is parted by a fourth position, in one of which
+every pair that belongs together agrees, so chance alone crowds no list before there are some 10^12 fingerprints.
+What is still crowded is a dense cluster; its fingerprints are linked through all keys that
+flip at most two of their bits, a fixed number of rows for each and never a pair, so no list is cut short.
 
 Defined results: null or empty text has fingerprint zero and links like any
 other; repeated rows each get a row; a null ``doc_id`` never names a group, and
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_space_words, batches, begin, id_and_bytes, raw_values, stage, table
+from corpusmill.llm.common import ascii_space_words, batches, begin, hot_join, id_and_bytes, raw_values, stage, table
 
 SHINGLE, BITS, SEED = 4, 4, 42
 HOT = 2048  # fingerprints of one posting list that are compared with each other in one task
@@ -77,13 +79,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _postings(distinct: DataFrame) -> DataFrame:
-    """Index rows: (key, fp, node); key holds the triple's number and its three byte values."""
+    """Index rows: (key, fp, node, used); key holds the triple's number and its three byte values, used its positions."""
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
     keys = [
         F.lit(n << 24).cast("long") + F.shiftleft(byte(a), 16) + F.shiftleft(byte(b), 8) + byte(c)
         for n, (a, b, c) in enumerate(position_triples())
     ]
-    return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
+    used = [F.lit(1 << a | 1 << b | 1 << c).cast("long") for a, b, c in position_triples()]
+    both = F.array(*[F.struct(k.alias("key"), u.alias("used")) for k, u in zip(keys, used)])
+    return distinct.select(F.explode(both).alias("k"), "fp", "node").select("k.key", "fp", "node", "k.used")
 
 
 def _links_of_list(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,21 +120,22 @@ def _links_of_list(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndar
 
 
 def _scan_lists(bits: int, hot: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64())])
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "hot", "key", "used")])
 
     def run(parts):
         """Posting lists arrive sorted by key; links go out, or the members of a list over ``hot``."""
-        key, fps, nodes, over = None, [], [], False
+        key, used, fps, nodes, over = None, 0, [], [], False
 
         def flush():
             if over or len(fps) < 2:
                 return None
             a, b = _links_of_list(np.array(fps, np.int64).view(np.uint64), np.array(nodes, np.int64), bits)
-            return batches({"a": pa.array(a), "b": pa.array(b), "hot": pa.nulls(len(a), pa.int64())}, schema) if len(a) else None
+            none = pa.nulls(len(a), pa.int64())
+            return batches({"a": pa.array(a), "b": pa.array(b), "hot": none, "key": none, "used": none}, schema) if len(a) else None
 
         for part in parts:
             k = part.column(0).to_numpy(zero_copy_only=False)
-            f, n = part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            f, n, u = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             if not len(k):
                 continue
             cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
@@ -139,12 +144,13 @@ def _scan_lists(bits: int, hot: int):
                 if k[s] != key:
                     if (out := flush()) is not None:
                         yield out
-                    key, fps, nodes, over = k[s], [], [], False
+                    key, used, fps, nodes, over = k[s], int(u[s]), [], [], False
                 fps += f[s:e].tolist()
                 nodes += n[s:e].tolist()
                 if len(fps) > hot or over and fps:
                     over = True
-                    yield batches({"a": pa.nulls(len(fps), pa.int64()), "b": pa.array(nodes), "hot": pa.array(fps)}, schema)
+                    whole = {"a": pa.nulls(len(fps), pa.int64()), "b": pa.array(nodes), "hot": pa.array(fps)}
+                    yield batches({**whole, "key": [int(key)] * len(fps), "used": [used] * len(fps)}, schema)
                     fps, nodes = [], []
         if (out := flush()) is not None:
             yield out
@@ -152,6 +158,16 @@ def _scan_lists(bits: int, hot: int):
     return run
 
 
+def _parted(crowded: DataFrame) -> DataFrame:
+    """(key, fp, node, used): members of crowded lists under each further position; ``used`` has a bit for each position."""
+    keys = []
+    for p in range(8):
+        own = F.xxhash64("key", F.lit(p), F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+        free = F.col("used").bitwiseAND(F.lit(1 << p)) == 0
+        keys.append(F.when(free, F.struct(own.alias("key"), F.col("used").bitwiseOR(F.lit(1 << p)).alias("used"))))
+    return crowded.select(F.explode(F.array_compact(F.array(*keys))).alias("k"), "fp", "node").select("k.key", "fp", "node", "k.used")
+
+
 def _flips(bits: int) -> list[int]:
     """Signed masks of at most ``bits / 2`` set bits, rounded up."""
     masks = [0]
@@ -167,18 +183,18 @@ def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """
     if bits != 4:
         raise ValueError("the position triples guarantee a meeting for four bits")
-    found = stage(
-        _postings(distinct)
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_scan_lists(bits, hot), "a long, b long, hot long"),
-        "simhash-links",
-    )
-    crowded = found.filter("hot IS NOT NULL").select(F.col("hot").alias("fp"), F.col("b").alias("node")).distinct()
-    plain = found.filter("hot IS NULL").select("a", "b")
-    if crowded.isEmpty():
-        return plain.distinct()
-    met = crowded.select("node", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in _flips(bits)])).alias("key"))
+    lists, plain = _postings(distinct), None
+    for _ in range(2):
+        scanned = lists.repartition("key").sortWithinPartitions("key").mapInArrow(_scan_lists(bits, hot), "a long, b long, hot long, key long, used long")
+        found = stage(scanned, "simhash-links")
+        own = found.filter("hot IS NULL").select("a", "b")
+        plain = own if plain is None else plain.union(own)
+        crowded = found.filter("hot IS NOT NULL").select("key", "used", F.col("hot").alias("fp"), F.col("b").alias("node"))
+        if crowded.isEmpty():
+            return plain.distinct()
+        lists = _parted(crowded)
+    masks = F.array(*[F.lit(m).cast("long") for m in _flips(bits)])
+    met = crowded.select("fp", "node").distinct().select("node", "fp", F.explode(masks).alias("mask")).select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     least = met.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("key", "b")
     return plain.union(met.join(least, "key").filter("node > b").select(F.col("node").alias("a"), "b")).distinct()
 
@@ -190,33 +206,34 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     each round is written to the shared folder.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
-    digest = None
+    digest, total = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses")).select("a", F.least("a", "m").alias("m"), "uses")
+        large = hot_join(both, least, "a", "uses", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses"))
+        small = hot_join(large, down, "a", "uses", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = stage(small.union(down.select("a", F.col("m").alias("b"))).distinct(), label)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == digest:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-        digest = now
+        digest, total = now, now[0]
 
 
 def groups_of(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """``fp``, ``component`` (its least fingerprint) and ``component_id`` (its least id) of the distinct fingerprints of ``fps``."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))
+    """``fp``, ``component`` (its least fingerprint), ``component_id`` (its least id) and ``uses`` of the distinct fingerprints of ``fps``."""
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses")).withColumn("node", F.col("fp")), "simhash-distinct")
     groups = components(links(distinct.select("fp", "node"), bits, hot))
-    placed = distinct.join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "component").select("fp", "component", "component_id")
+    placed = distinct.join(groups, "node", "left").select("fp", "least", "uses", F.coalesce("component", "node").alias("component"))
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    placed = hot_join(placed, ids, "component", "members", distinct.count())
+    return stage(placed.select("fp", "component", "component_id", "uses"), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row of ``docs``."""
     fps = stage(fingerprints(docs), "simhash-fps")
-    return fps.join(groups_of(fps, bits, hot), "fp").select(
+    return hot_join(fps, groups_of(fps, bits, hot), "fp", "uses", fps.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
