@@ -1,7 +1,8 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is one task's documents.  Its symbols are the words that occur in the
-test windows at hand; a word that occurs in none can be in no occurrence, so it
+A shard is a stretch of at most ``SHARD_BYTES`` of one task's documents; its index is
+built once for each pass and answers all test windows of the pass.  Its symbols are the words that occur in the
+test windows; a word that occurs in none can be in no occurrence, so it
 ends a run, and runs shorter than the shortest window are left out.  What is
 left is indexed: a suffix array gives the Burrows-Wheeler transform, a wavelet
 tree of rank-counted bit vectors answers how often a symbol occurs before a
@@ -9,9 +10,9 @@ place, backward search narrows all test windows at once symbol by symbol, and
 sampled suffix positions locate the occurrences by walking back to a sample.
 The spans of a document's occurrences are merged before removal.
 
-The test windows are a stated query set: they go to the tasks in blocks of at
-most ``BLOCK_BYTES``, so nothing broadcast grows with the benchmark; each block
-is one pass, and the spans of all passes are merged.
+The test windows are a stated query set: they go to the tasks in passes of at
+most ``PASS_BYTES``, so nothing broadcast grows with the benchmark; the result is
+written after each pass but the last, and the spans of all passes are merged.
 
 Defined results: null has no words; an item without words has no windows;
 repeated items count once by ``item_id``, a null ``item_id`` marks words but is
@@ -22,22 +23,22 @@ documents clean; other columns are carried or ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import alnum_words, begin, raw_values, stage, table
+from corpusmill.llm.common import alnum_words, begin, free_name, raw_values, stage, table
 
 WINDOW = 10
 #: Text bytes of the benchmark items of one pass; a proven bound on what is broadcast.
-BLOCK_BYTES = 4 << 20
-STAGE_BLOCKS = 8  # blocks that are searched for in one chain; then the result is staged
+PASS_BYTES = 16 << 20
 SAMPLE = 8
-#: Indexed symbols of one shard; a task with more builds several shards.
-SHARD_SYMBOLS = 1 << 20
+#: Text bytes of the documents of one shard; one longer text is a shard of its own.
+SHARD_BYTES = 16 << 20
 
 
 class Bits:
@@ -157,37 +158,31 @@ def _runs(symbols: np.ndarray, shortest: int) -> list[tuple[int, int]]:
     return edges[edges[:, 1] - edges[:, 0] >= shortest].tolist()
 
 
-def _shard_hits(runs: list[tuple[int, int, np.ndarray]], tests: TestWindows) -> Iterator[tuple[int, int, int, int]]:
+_FAR = 1 << 40  # more words than a text has
+
+
+def _shard_hits(runs: list[tuple[int, int, np.ndarray]], tests: TestWindows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, end, window) of every occurrence in the runs (document, first word, symbols)."""
     stop = len(tests.symbol) + 1
     text = np.concatenate([x for _, _, s in runs for x in (s, [stop])]).astype(np.int64)
-    ends = np.cumsum([len(s) + 1 for _, _, s in runs])
+    begins = np.concatenate([[0], np.cumsum([len(s) + 1 for _, _, s in runs])[:-1]])
     index = FMIndex(text, stop)
     low, high = index.search(tests.patterns, tests.lengths)
     hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return
     n = (high - low)[hit]
     window = np.repeat(hit, n)
-    rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    rows = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     at = index.locate(rows)
-    run = np.searchsorted(ends, at, side="right")
-    offset = at - np.concatenate([[0], ends[:-1]])[run]
-    for r, o, w in zip(run.tolist(), offset.tolist(), window.tolist()):
-        doc, first, _ = runs[r]
-        yield doc, first + o, first + o + int(tests.lengths[w]), w
+    run = np.searchsorted(begins, at, side="right") - 1
+    first = at - begins[run] + np.array([f for _, f, _ in runs], np.int64)[run]
+    return np.array([d for d, _, _ in runs], np.int64)[run], first, first + tests.lengths[window], window
 
 
-def find_spans(texts: list[bytes | None], tests: TestWindows, shard_symbols: int = SHARD_SYMBOLS) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: words, merged spans [start, end) of occurrences, and the items that occur."""
-    counts, hits = [], [[] for _ in texts]
+def find_spans(texts: Iterable[bytes | None], tests: TestWindows) -> list[tuple[int, list[list[int]], set[str]]]:
+    """For each text of one shard: words, merged spans [start, end) of occurrences, and the items that occur."""
+    counts: list[int] = []
     runs: list = []
-    size, symbol = 0, tests.symbol.get
-
-    def search() -> None:
-        for doc, s, e, w in _shard_hits(runs, tests) if runs else ():
-            hits[doc].append((s, e, w))
-
+    symbol = tests.symbol.get
     for doc, raw in enumerate(texts):
         words = alnum_words(raw)
         counts.append(len(words))
@@ -196,24 +191,23 @@ def find_spans(texts: list[bytes | None], tests: TestWindows, shard_symbols: int
         symbols = np.fromiter((symbol(w, 0) for w in words), np.int32, len(words))
         for s, e in _runs(symbols, tests.shortest):
             runs.append((doc, s, symbols[s:e]))
-            size += e - s
-        if size > shard_symbols:
-            search()
-            runs, size = [], 0
-    search()
-    out = []
-    for n, own in zip(counts, hits):
-        merged: list[tuple[int, int]] = []
-        for s, e, _ in sorted(own):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-            else:
-                merged.append((s, e))
-        out.append((n, merged, {x for w in {w for _, _, w in own} for x in tests.items[w]}))
-    return out
-
-
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes | None]]]:
+    spans: list[list[list[int]]] = [[] for _ in counts]
+    items: list[set[str]] = [set() for _ in counts]
+    if runs:
+        doc, first, end, window = _shard_hits(runs, tests)
+        order = np.lexsort((first, doc))
+        doc, first, reach = doc[order], first[order], np.maximum.accumulate(doc[order] * _FAR + end[order]) if len(doc) else end
+        new = np.ones(len(doc), bool)  # an occurrence that begins past the end of all before it in its document
+        new[1:] = (doc[1:] != doc[:-1]) | (doc[1:] * _FAR + first[1:] > reach[:-1])
+        at = np.flatnonzero(new)
+        for d, s, e in zip(doc[at].tolist(), first[at].tolist(), (reach[np.append(at[1:], len(doc))[: len(at)] - 1] - doc[at] * _FAR).tolist()):
+            spans[d].append([s, e])
+        for key in np.unique(doc * len(tests.items) + window[order]).tolist() if len(doc) else ():
+            items[key // len(tests.items)].update(tests.items[key % len(tests.items)])
+    return list(zip(counts, spans, items))
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = PASS_BYTES) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """The items in blocks of bounded size, one block at a time on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("raw"))
     block: list = []
@@ -228,42 +222,53 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, spans (merged, of word numbers) and items (sorted) added.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = PASS_BYTES, into: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """``docs`` with three columns added, named by ``into``: words, spans (merged, of word numbers) and items (sorted).
 
-    One pass over ``docs`` for each block of the benchmark; most benchmarks are one block.
-    Blocks are taken one at a time, and the result is staged after every ``STAGE_BLOCKS``.
+    Columns of ``docs`` with these names give way.  One pass over ``docs`` for each ``block_bytes`` of the benchmark; most benchmarks are one pass.
     """
-    taken = {"n_words", "spans", "items"} & set(docs.columns)
-    if taken:
-        docs = docs.drop(*taken)
-    names = docs.columns
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")})
+    out = docs = docs.drop(*into)
+    for name, form in zip(into, ("long", "array<array<long>>", "array<string>")):
+        out = out.withColumn(name, F.lit(0).cast("long") if form == "long" else F.array().cast(form))
+    given, schema = docs.columns, out.schema
     for k, block in enumerate(benchmark_blocks(benchmark, block_bytes)):
-        if k and k % STAGE_BLOCKS == 0:
+        if k:
             out = stage(out, "decontaminate")
         tests = docs.sparkSession.sparkContext.broadcast((block, window))
-        schema = out.schema
 
         def run(parts, tests=tests):
             begin()
             known = TestWindows(*tests.value)
-            for b in parts:
-                at = {n: k for k, n in enumerate(b.schema.names)}
-                text = b.column(at["text"]).cast(pa.binary())  # a view of the same bytes
-                found = find_spans(list(raw_values(text)), known)
-                n, spans, items = [x[0] for x in found], [], []
-                for (_, new, names_), old, listed in zip(found, b.column(at["spans"]).to_pylist(), b.column(at["items"]).to_pylist()):
-                    spans.append(merge([tuple(x) for x in old] + new))
-                    items.append(sorted(set(listed) | names_))
-                kept = [b.column(at[c]) for c in names]
-                added = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*kept, *added], names=[*names, "n_words", "spans", "items"])
+            for shard in _shards(parts):
+                texts = [b.column(b.schema.get_field_index("text")).cast(pa.binary()) for b in shard]  # views of the same bytes
+                found = iter(find_spans(chain.from_iterable(map(raw_values, texts)), known))
+                for b in shard:
+                    counts, spans, items = [], [], []
+                    for old, listed, (n, new, names) in zip(b.column(into[1]).to_pylist(), b.column(into[2]).to_pylist(), found):
+                        counts.append(n)
+                        spans.append(merge(old + new) if old else new)
+                        items.append(sorted(names.union(listed)))
+                    added = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *added], names=[*given, *into])
 
         out = out.mapInArrow(run, schema)
     return out
 
 
+def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of one shard after another."""
+    shard: list[pa.RecordBatch] = []
+    size = 0
+    for b in parts:
+        if shard and size + b.nbytes > SHARD_BYTES:
+            yield shard
+            shard, size = [], 0
+        shard.append(b)
+        size += b.nbytes
+    if shard:
+        yield shard
+
+
 def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     """Overlapping or touching spans joined."""
     out: list[list[int]] = []
@@ -291,9 +296,10 @@ _WORD_MARK = bytes(int(b >= 128 or chr(b).isalnum()) for b in range(256))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the contaminated stretches cut out of ``text``; clean rows are unchanged."""
-    names = docs.columns
-    found = find_contamination(docs, benchmark, window)
+    """``docs`` with the contaminated stretches cut out of ``text``; clean rows and all other columns are unchanged."""
+    given = docs.columns
+    n, spans, items = into = tuple(free_name(given, x) for x in ("_n_words", "_spans", "_items"))
+    found = find_contamination(docs, benchmark, window, into=into)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -301,7 +307,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
         return pd.Series([t if t is None or not len(s) else remove_spans(t.encode(), [list(x) for x in s]).decode() for t, s in zip(text, spans)], dtype=object)
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(*names)
+    return found.withColumn("text", F.when(F.size(spans) > 0, cut("text", spans)).otherwise(F.col("text"))).select(*given)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
