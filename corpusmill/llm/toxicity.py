@@ -273,8 +273,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def held_out(column: str = "doc_id"):
-    """Whether a row's label is kept from training."""
-    return F.crc32(F.col(column).cast("string")) % FOLDS == HELD_OUT
+    """Whether a row's label is kept from training; a missing id is the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
@@ -292,27 +292,25 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     return fit([t for _, t in rows], np.array([chosen[i] == 1 for i, _ in rows])) if rows else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``toxicity`` from 0 to 1; 0 without a model."""
-    names = [c for c in docs.columns if c != "toxicity"]
-    docs = docs.select(*names)
+def score(docs: DataFrame, model: Model | None, into: str = "toxicity") -> DataFrame:
+    """``docs`` with the score from 0 to 1 in a column named ``into``, to which one of that name gives way; 0 without a model."""
+    docs = docs.drop(into)
+    out = docs.withColumn(into, F.lit(0.0))
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return out
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of fixed size
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
 
     def run(parts):
         known = shared.value
         begin("toxicity", known.known.clear)
         for b in parts:
-            out = []
+            found = []
             text = b.column(b.schema.get_field_index("text")).cast(pa.binary())  # a view of the same bytes
             for at in range(0, b.num_rows, 256):
-                out.append(known.scores([decode_text(x) for x in raw_values(text.slice(at, 256))]))
-            columns = [b.column(b.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*names, "toxicity"])
+                found.append(known.scores([decode_text(x) for x in raw_values(text.slice(at, 256))]))
+            yield b.append_column(into, pa.array(np.concatenate(found) if found else [], pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, out.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
