@@ -34,19 +34,30 @@ def query_phrases(spark: SparkSession, query: str, underscore: bool = True) -> l
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, str], underscore: bool = True) -> DataFrame:
-    """(key, field, term, tf): how often a field of a row has a search token of its expanded text."""
-    parts = []
-    for field, column in fields.items():
-        words = rows.select(key, F.explode(F.split(F.col(column), T.BETWEEN_WORDS)).alias("word"))
-        words = words.select(key, F.regexp_replace("word", T.ENDS, "").alias("word")).filter("word <> ''")
-        counted = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-        terms = F.flatten(F.transform(T.word_tokens(F.col("word")), lambda t: T.search_tokens(t, underscore)))
-        exploded = counted.select(key, "n", F.explode(terms).alias("term"))
-        parts.append(exploded.groupBy(key, "term").agg(F.sum("n").alias("tf")).select(key, F.lit(field).alias("field"), "term", "tf"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(key, field, term, tf): how often a field of a row has a search token of its expanded text.
+
+    Rows are dealt by ``key`` once; the counts, and any later grouping by ``key``, need no further exchange.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in fields.items()])
+    dealt = rows.select(key, *fields.values()).repartition(key).select(key, F.explode(cells).alias("cell"))
+    words = dealt.select(key, F.col("cell.field").alias("field"), F.explode(F.split("cell.value", T.BETWEEN_WORDS)).alias("word"))
+    words = words.select(key, "field", F.regexp_replace("word", T.ENDS, "").alias("word")).filter("word <> ''")
+    counted = words.groupBy(key, "field", "word").agg(F.count("*").alias("n"))
+    terms = F.flatten(F.transform(T.word_tokens(F.col("word")), lambda t: T.search_tokens(t, underscore)))
+    exploded = counted.select(key, "field", "n", F.explode(terms).alias("term"))
+    return exploded.groupBy(key, "field", "term").agg(F.sum("n").alias("tf"))
+
+
+def score_of(n: int) -> Column:
+    """BM25 over columns f0.. (weighted counts, null for none), df0.., len, n_rows and total."""
+    score = F.lit(0.0)
+    for i in range(n):
+        idf = F.log((F.col("n_rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
+        f = F.col(f"f{i}")
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") * F.col("n_rows") / F.col("total")))
+        score = score + F.coalesce(part, F.lit(0.0))
+    return score
 
 
 def bm25(posted: DataFrame, rows: DataFrame, key: str, terms: list[str], weights: dict[str, float]) -> DataFrame:
@@ -60,15 +71,8 @@ def bm25(posted: DataFrame, rows: DataFrame, key: str, terms: list[str], weights
     per_row = posted.groupBy(key).agg(F.sum("tf").alias("len"), *found)
     corpus = per_row.agg(F.sum("len").alias("total"), *[F.count(f"f{i}").alias(f"df{i}") for i in range(len(terms))])
     corpus = corpus.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_rows"))))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n_rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
-        f = F.col(f"f{i}")
-        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") * F.col("n_rows") / F.col("total")))
-        score = score + F.coalesce(part, F.lit(0.0))
     matched = per_row.filter(F.coalesce(*[F.col(f"f{i}") for i in range(len(terms))]).isNotNull())
-    return matched.crossJoin(F.broadcast(corpus)).select(key, score.alias("score"))
+    return matched.crossJoin(F.broadcast(corpus)).select(key, score_of(len(terms)).alias("score"))
 
 
 def phrase_counts(rows: DataFrame, key: str, text: str, phrases: list[list[str]], underscore: bool = True) -> DataFrame:

@@ -40,6 +40,30 @@ def refresh_action(previous_head: Column, head: Column, previous_signature: Colu
     )
 
 
+def refreshed_overlays(overlays: DataFrame, base: DataFrame, dirty: DataFrame, key: str, head_changed: bool = False) -> DataFrame:
+    """(key, fingerprint, identity, action) of the overlays after a scan for changed files, and those taken out.
+
+    ``dirty`` (key, fingerprint, identity; null identity: missing or unreadable) is the scan,
+    ``base`` (key, identity) the committed files.  An overlay that is no longer dirty is ``stale``,
+    one whose content is the committed one again ``reverted``; both go.  An equal fingerprint is
+    ``kept`` unless the head changed, anything else is ``written``.
+    """
+    old = overlays.select(key, F.col("fingerprint").alias("__f"), F.col("identity").alias("__i"), F.lit(True).alias("__old"))
+    new = dirty.select(key, "fingerprint", "identity", F.lit(True).alias("__new"))
+    committed = base.select(key, F.col("identity").alias("__base"))
+    rows = old.join(new, key, "full_outer").join(committed, key, "left")
+    same = F.lit(not head_changed) & (F.col("__f") == F.col("fingerprint"))
+    action = (
+        F.when(F.col("__new").isNull(), "stale")
+        .when(F.col("__old").isNotNull() & same, "kept")
+        .when(F.col("identity") == F.col("__base"), "reverted")
+        .otherwise("written")
+    )
+    kept = F.col("action") == "kept"
+    out = rows.withColumn("action", action)
+    return out.select(key, F.coalesce("fingerprint", "__f").alias("fingerprint"), F.when(kept, F.col("__i")).otherwise(F.col("identity")).alias("identity"), "action")
+
+
 def distinct_contents(rows: DataFrame, content: str) -> DataFrame:
     """(identity, copies, bytes): contents stored once under their SHA-256."""
     hashed = rows.select(F.sha2(F.col(content), 256).alias("identity"), F.octet_length(content).alias("bytes"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import records, reports, search
+from corpusmill.plans import records, reports, retrieval, search
 
-QUERIES: dict = {**search.QUERIES, **records.QUERIES, **reports.QUERIES}
-ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **reports.ORACLES}
+QUERIES: dict = {**search.QUERIES, **records.QUERIES, **reports.QUERIES, **retrieval.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **reports.ORACLES, **retrieval.ORACLES}
 
 
 def listing(spark: SparkSession) -> DataFrame:
