@@ -64,3 +64,96 @@ def quota_change(before: Column, after: Column) -> Column:
         )
     )
     return F.struct((before - after).alias("change"), reasons.alias("reasons"))
+
+
+def file_coverage(cited: DataFrame, alternatives: DataFrame, files: DataFrame, task: str) -> DataFrame:
+    """One row a task: cited files against the accepted ones of its groups.
+
+    ``cited`` (task, path, start, end), ``alternatives`` (task, group_id, required, path), ``files``
+    (path, lines).  Paths of invalid ranges count for the precision; a file is hit only by a valid
+    range.  Recall is over required groups, each hit by any of its alternatives; without paths or
+    groups the figure is 0.
+    """
+    known = cited.join(files.select("path", "lines"), "path", "left").withColumn("__ok", valid_range(F.col("start"), F.col("end"), F.col("lines")))
+    per_path = known.groupBy(task, "path").agg(F.bool_or("__ok").alias("__hit"), F.count_if(~F.col("__ok")).alias("__bad"))
+    accepted = alternatives.groupBy(task, "path").agg(F.lit(True).alias("__accepted"))
+    matched = F.count_if(F.col("__hit") & F.col("__accepted").isNotNull())
+    paths = per_path.join(accepted, [task, "path"], "left").groupBy(task).agg(
+        F.count("*").alias("distinct_paths"), F.count_if("__hit").alias("valid_files"), matched.alias("matched_files"), F.sum("__bad").alias("invalid_ranges")
+    )
+    groups = alternatives.filter("required").join(per_path.filter("__hit").select(task, "path", "__hit"), [task, "path"], "left")
+    groups = groups.groupBy(task, "group_id").agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("__found"))
+    groups = groups.groupBy(task).agg((F.count_if("__found") / F.count("*")).alias("file_recall"))
+    counts = ["distinct_paths", "valid_files", "matched_files", "invalid_ranges"]
+    out = alternatives.select(task).union(cited.select(task)).distinct().join(paths, task, "left").join(groups, task, "left").fillna(0, [*counts, "file_recall"])
+    return out.withColumn("file_precision", F.when(F.col("distinct_paths") == 0, 0.0).otherwise(F.col("matched_files") / F.col("distinct_paths")))
+
+
+def eligible(state: Column, answer: Column, invalid_ranges: Column, valid_files: Column) -> Column:
+    """Whether a trial may be judged: completed, a valid answer, no invalid range and a valid file; null counts as not."""
+    return F.coalesce((state == "completed") & (answer == "valid") & (invalid_ranges == 0) & (valid_files > 0), F.lit(False))
+
+
+# Fixed value: minutes of a weekly window.
+WEEKLY = 7 * 24 * 60
+
+
+def usable(error: Column, value: Column, observed: Column, now: Column, fresh: int) -> Column:
+    """Whether an observation may be used: no error, a value, and an age from 0 to ``fresh`` seconds."""
+    return F.coalesce((F.coalesce(error, F.lit("")) == "") & value.isNotNull() & (now - observed).between(0, fresh), F.lit(False))
+
+
+def quota_comparison(before: Column, after: Column, concurrent: Column, simulated: Column) -> Column:
+    """(status, reasons, change, interpretation) of two observations (remaining, observed, reset) of a weekly quota.
+
+    Without either observation the status is unavailable and the rest null.
+    """
+    change = before["remaining"] - after["remaining"]
+    reset = before["reset"]
+    crossing = (reset != after["reset"]) | (before["observed"] >= reset) | (after["observed"] >= reset)
+    reasons = F.array_compact(
+        F.array(
+            F.when(simulated, F.lit("simulation_not_attributable")),
+            F.when(crossing, F.lit("reset_crossing")),
+            F.when(~concurrent.eqNullSafe(F.lit(False)), F.lit("concurrent_or_unknown_account_activity")),
+            F.when(change < 0, F.lit("remaining_percentage_increased")),
+        )
+    )
+    known = before.isNotNull() & after.isNotNull()
+    said = F.when(change == 0, "no observable percentage-point change; not zero cost").otherwise("observed change only; no token or price conversion")
+    return F.struct(
+        F.when(~known, "unavailable").when(F.size(reasons) > 0, "not_comparable").otherwise("comparable").alias("status"),
+        F.when(known, reasons).alias("reasons"), F.when(known, change).alias("change"), F.when(known, said).alias("interpretation"),
+    )
+
+
+def weekly_buckets(observations: DataFrame, key: str, buckets: str, now: Column, slack: int) -> DataFrame:
+    """(key, bucket_id, slot, used_percent, resets_at, comparable_reset, valid): the weekly windows of bucket maps.
+
+    ``buckets`` maps an id to a struct of ``primary`` and ``secondary`` windows (minutes, used,
+    resets).  A window is valid with 0 to below 100 percent used and a reset to come; an unused
+    one that resets a full window ahead, give or take ``slack`` seconds, compares as such.
+    """
+    by_bucket = observations.select(key, now.alias("__now"), F.explode(buckets).alias("bucket_id", "__slots"))
+    slots = F.create_map(F.lit("primary"), F.col("__slots.primary"), F.lit("secondary"), F.col("__slots.secondary"))
+    rows = by_bucket.select(key, "__now", "bucket_id", F.explode(slots).alias("slot", "w")).filter(F.col("w.minutes") == WEEKLY)
+    used, resets = F.col("w.used"), F.col("w.resets")
+    full = (used == 0) & (F.abs(resets - F.col("__now") - WEEKLY * 60) <= slack)
+    valid = F.coalesce((used >= 0) & (used < 100) & (resets > F.col("__now")), F.lit(False))
+    comparable = F.when(full, "zero_usage_full_window").otherwise(resets.cast("string"))
+    return rows.select(key, "bucket_id", "slot", used.alias("used_percent"), resets.alias("resets_at"), comparable.alias("comparable_reset"), valid.alias("valid"))
+
+
+def evidence_available(alternatives: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, available): whether any alternative of a group lies in an indexed path."""
+    known = indexed.select("path").distinct().withColumn("__in", F.lit(True))
+    return alternatives.join(known, "path", "left").groupBy(*keys).agg(F.coalesce(F.bool_or("__in"), F.lit(False)).alias("available"))
+
+
+def identity_mismatches(planned: DataFrame, recorded: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, mismatches): records whose identity differs from the plan's, by field; unplanned and missing ones say so."""
+    a = planned.select(key, F.struct(*fields).alias("__a"))
+    b = recorded.select(key, F.struct(*fields).alias("__b"))
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"__a.{f}").eqNullSafe(F.col(f"__b.{f}")), F.lit(f)) for f in fields]))
+    found = F.when(F.col("__a").isNull(), F.array(F.lit("unplanned"))).when(F.col("__b").isNull(), F.array(F.lit("missing"))).otherwise(differs)
+    return a.join(b, key, "full_outer").select(key, found.alias("mismatches")).filter(F.size("mismatches") > 0)
