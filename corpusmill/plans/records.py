@@ -66,19 +66,20 @@ def output_regions(spark, sf_dir):
 
 
 def output_rank(spark, sf_dir):
-    """Ranked regions inside each stream: statistics are those of the stream alone."""
+    """Ranked regions inside each stream: statistics are those of the stream alone.
+
+    Postings are made once and leave their task only as one row a region.
+    """
     regions = streams.stream_regions(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("region", F.concat_ws(":", "doc_id", "position"))
     posted = rank.postings(regions, "region", {"body": "body"}, underscore=False)
-    owner = regions.select("region", "doc_id", "position")
-    lengths = owner.join(posted.groupBy("region").agg(F.sum("tf").alias("len")), "region", "left").withColumn("len", F.coalesce("len", F.lit(0)))
-    corpus = lengths.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))
-    hits = posted.filter(F.col("term").isin("the", "license")).join(owner, "region").select("doc_id", "region", "term", F.col("tf").alias("f"))
-    df = hits.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    joined = hits.join(df, ["doc_id", "term"]).join(lengths.select("region", "position", "len"), "region").join(corpus, "doc_id")
-    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(rank.FLOOR))
-    part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    scored = joined.groupBy("doc_id", "region", "position").agg(F.round(F.sum(part), 9).alias("score"))
+    terms = ("the", "license")
+    found = [F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"f{i}") for i, t in enumerate(terms)]
+    counted = posted.groupBy("region").agg(F.sum("tf").alias("len"), *found)
+    rows = regions.select("region", "doc_id", "position").join(counted, "region", "left").withColumn("len", F.coalesce("len", F.lit(0)))
+    stream = Window.partitionBy("doc_id")
+    stats = {f"df{i}": F.count(f"f{i}").over(stream) for i in range(len(terms))}
+    rows = rows.withColumns({"n_rows": F.count("*").over(stream), "total": F.sum("len").over(stream), **stats})
+    scored = rows.filter(F.coalesce("f0", "f1").isNotNull()).withColumn("score", F.round(rank.score_of(len(terms)), 9))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "position")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 5").select("doc_id", "position", "rank", "score")
 
