@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm.common import batches, id_and_bytes, raw_values, table
+from corpusmill.llm.common import batches, id_and_bytes, raw_values, stage, table
 
 CHUNK, FILL, SHIFT = 576, 255, 2
 
@@ -417,19 +417,36 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]};" + ",".join(map(str, sums.tolist()))
 
 
-def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
-    """doc_id, n_bytes, media (the JPEG), payload as read back from it, feature, and the RGB tensor with its shape."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()),
-                        ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media, the JPEG of each padded text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(parts):
         for b in parts:
-            for at in range(0, b.num_rows, 64):  # a few tensors at a time
+            for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
                 rows: dict[str, list] = {f.name: [] for f in schema}
                 for doc, raw in zip(some.column(0).to_pylist(), raw_values(some.column(1))):
                     n = len(raw or b"")
                     media = encode((raw or b"") + bytes([FILL]) * (max(CHUNK, -(-n // CHUNK) * CHUNK) - n))
+                    for name, v in zip(rows, (doc, n, media)):
+                        rows[name].append(v)
+                yield batches(rows, schema)
+
+    return id_and_bytes(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def decoded(stored: DataFrame, tensors: bool = True) -> DataFrame:
+    """Stored media with payload, feature, and the RGB tensor with its shape, all from the bytes as read."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string()),
+                        ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+
+    def run(parts):
+        for b in parts:
+            for at in range(0, b.num_rows, 64):  # a few tensors at a time
+                some = b.slice(at, 64)
+                rows: dict[str, list] = {f.name: [] for f in schema}
+                for doc, n, media in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), raw_values(some.column(2))):
                     c, q, across, down, comment = decode_coefficients(media)
                     rgb = to_rgb(c, q, across, down)
                     values = (doc, n, media, payload_of(c, comment), feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes() if tensors else None)
@@ -437,11 +454,16 @@ def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
                         rows[name].append(v)
                 yield batches(rows, schema)
 
-    return id_and_bytes(docs).mapInArrow(
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         run, "doc_id long, n_bytes long, media binary, payload binary, feature string, height int, width int, rgb binary"
     )
 
 
+def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
+    """doc_id, n_bytes, media (the JPEG as stored), payload as read back from it, feature, and the RGB tensor with its shape."""
+    return decoded(stage(encoded(docs), "media"), tensors)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a progressive JPEG, read back: digests and features."""
     from pyspark.sql import functions as F
