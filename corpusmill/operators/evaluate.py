@@ -157,3 +157,51 @@ def identity_mismatches(planned: DataFrame, recorded: DataFrame, key: str, field
     differs = F.array_compact(F.array(*[F.when(~F.col(f"__a.{f}").eqNullSafe(F.col(f"__b.{f}")), F.lit(f)) for f in fields]))
     found = F.when(F.col("__a").isNull(), F.array(F.lit("unplanned"))).when(F.col("__b").isNull(), F.array(F.lit("missing"))).otherwise(differs)
     return a.join(b, key, "full_outer").select(key, found.alias("mismatches")).filter(F.size("mismatches") > 0)
+
+
+#: A line with its end: the ends are those of bytes, so a form feed or a line separator is not one.
+_WITH_END = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
+
+
+def lines_with_ends(text: Column) -> Column:
+    """The lines of a text, each with its own end."""
+    return F.regexp_extract_all(text, F.lit(_WITH_END), F.lit(0))
+
+
+def excerpt_digest(text: Column, start: Column, end: Column) -> Column:
+    """SHA-256 of the lines from ``start`` to ``end``, both counted from 1 and both inside, with their ends."""
+    length = F.greatest(end - start + 1, F.lit(0))
+    return F.sha2(F.array_join(F.slice(lines_with_ends(text), start, length), "").cast("binary"), 256)
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, however often and in whatever order."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+_RANGE = "array<struct<path string, start long, end long, byte_start long, byte_end long, partial boolean>>"
+_EVENT = "type string, data struct<path struct<text string>, lines struct<text string>, line_number long, absolute_offset long>"
+
+
+def returned_ranges(tool: Column, result: Column, read: str, text: str, ranked: str) -> Column:
+    """The line ranges that a tool's JSON result shows: ``read`` gives one, ``text`` one a match event, ``ranked`` one an excerpt.
+
+    Results that are not ``ok``, other tools and null results give none; a match without text of its path or lines is passed over.
+    """
+    value = F.from_json(result, "ok boolean, result struct<path string, start long, end long, byte_start long, byte_end long, content string, success boolean>")
+    found, ok = value["result"], value["ok"]
+    null = F.lit(None).cast("long")
+    one = F.array(F.struct(found["path"], found["start"], found["end"], found["byte_start"], found["byte_end"], F.lit(False))).cast(_RANGE)
+    events = F.transform(F.split(found["content"], "\n"), lambda line: F.from_json(line, _EVENT))
+    told = lambda e: (e["type"] == "match") & e["data"]["path"]["text"].isNotNull() & e["data"]["lines"]["text"].isNotNull()
+
+    def matched(e):
+        data, body = e["data"], e["data"]["lines"]["text"]
+        last = data["line_number"] + F.greatest(F.size(lines_with_ends(body)), F.lit(1)) - 1
+        place = data["absolute_offset"]
+        return F.struct(F.regexp_replace(data["path"]["text"], r"^\./", ""), data["line_number"], last, place, place + F.octet_length(body), F.lit(False))
+
+    shown = F.from_json(found["content"], "results array<struct<path string, snippet_start_line long, snippet_end_line long>>")["results"]
+    excerpts = F.transform(shown, lambda r: F.struct(r["path"], r["snippet_start_line"], r["snippet_end_line"], null, null, F.lit(True))).cast(_RANGE)
+    out = F.when(tool == read, one).when(tool == text, F.transform(F.filter(events, told), matched).cast(_RANGE)).when((tool == ranked) & found["success"], excerpts)
+    return F.coalesce(F.when(ok, out), F.array().cast(_RANGE))

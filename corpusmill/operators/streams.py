@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators import running
+
 # Fixed values of the store: bytes of a page and of a chunk, entries, bytes in all, one reservation, seconds to live.
 PAGE, CHUNK, ENTRIES, TOTAL, RESERVED, LIVE = 4096, 3584, 64, 32 << 20, 8 << 20, 3600
 REGION_BYTES, REGION_LINES, BACK_LINES, BACK_BYTES, BACK_BLIND = 8192, 60, 6, 1024, 256
@@ -65,6 +67,14 @@ def pages(streams: DataFrame, handle: str, content: str) -> DataFrame:
     return streams.select(handle, F.col(content).cast("binary").alias("__raw")).mapInPandas(run, f"{handle} {kind}, page long, offset long, bytes long, sha256 string")
 
 
+def chunks(streams: DataFrame, handle: str, content: str) -> DataFrame:
+    """(handle, ordinal, chunk): a stream as rows of 3584 bytes to append; null and empty streams have none."""
+    raw = F.col(content).cast("binary")
+    count = F.ceil(F.octet_length(raw) / CHUNK).cast("int")
+    dealt = streams.filter(count > 0).select(handle, raw.alias("__raw"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ordinal"))
+    return dealt.select(handle, F.col("ordinal").cast("long"), F.substring("__raw", F.col("ordinal") * CHUNK + 1, F.lit(CHUNK)).alias("chunk"))
+
+
 def cursor(handle: Column, offset: Column, version: str = "01") -> Column:
     """An opaque place: version, handle, offset in hex, and the SHA-256 of these."""
     body = F.concat(F.lit(version), handle, F.lpad(F.lower(F.hex(offset)), 16, "0"))
@@ -95,12 +105,10 @@ def reserved_bytes(bytes_: Column, committed: Column) -> Column:
 
 def evicted_for_one_more(entries: DataFrame, order: list[str], slot: str) -> DataFrame:
     """Committed entries marked ``evicted`` so that one more reservation fits, oldest first, per slot."""
-    whole = Window.partitionBy(slot)
-    ahead = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum("bytes").over(ahead), F.lit(0))
-    rank = F.row_number().over(whole.orderBy(*order)) - 1
-    fits = (F.count("*").over(whole) - rank < ENTRIES) & (F.sum("bytes").over(whole) - gone + RESERVED <= TOTAL)
-    return entries.withColumn("evicted", ~fits)
+    totalled = running.ahead(entries, [slot], order, {"__count": F.lit(1), "__size": F.col("bytes")})
+    left = F.col("__count_all") - F.col("__count_ahead")
+    fits = (left < ENTRIES) & (F.col("__size_all") - F.col("__size_ahead") + RESERVED <= TOTAL)
+    return totalled.select(*entries.columns, (~fits).alias("evicted"))
 
 
 def regions(content: bytes) -> list[tuple[int, int, int]]:

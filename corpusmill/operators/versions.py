@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators import running
+
 WEEK = 7 * 24 * 3600
 
 
@@ -89,10 +91,14 @@ def collectable(rows: DataFrame, now: Column, pressure: bool = False, created: s
 def evict_until(rows: DataFrame, size: str, order: list[str], budget: int, group: list[str] | None = None) -> DataFrame:
     """Rows marked ``evicted``: the oldest go until what is left fits the budget.
 
-    The running total is per ``group``; a store with many groups never sorts in one task.
+    The running total is per ``group``, which may be larger than a task.
     """
-    partition = group or []
-    whole = Window.partitionBy(*partition)
-    ahead = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(size).over(ahead), F.lit(0))
-    return rows.withColumn("evicted", F.sum(size).over(whole) - gone > budget)
+    totalled = running.ahead(rows, group or [], order, {"__size": F.col(size)})
+    return totalled.select(*rows.columns, (F.col("__size_all") - F.col("__size_ahead") > budget).alias("evicted"))
+
+
+def expired_runs(runs: DataFrame, created: str, name: str, now: int, seconds: int, most: int, group: list[str]) -> DataFrame:
+    """Runs marked ``expired``: those as old as ``seconds``, and the oldest until fewer than ``most`` are left for the next."""
+    totalled = running.ahead(runs, group, [created, name], {"__count": F.lit(1)})
+    left = F.col("__count_all") - F.col("__count_ahead")
+    return totalled.select(*runs.columns, ((F.lit(now) - F.col(created) >= seconds) | (left >= most)).alias("expired"))

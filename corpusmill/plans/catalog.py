@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import records, reports, retrieval, search, trials
+from corpusmill.plans import records, reports, retrieval, search, trials, upkeep
 
-QUERIES: dict = {**search.QUERIES, **records.QUERIES, **reports.QUERIES, **retrieval.QUERIES, **trials.QUERIES}
-ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **reports.ORACLES, **retrieval.ORACLES, **trials.ORACLES}
+QUERIES: dict = {**search.QUERIES, **records.QUERIES, **reports.QUERIES, **retrieval.QUERIES, **trials.QUERIES, **upkeep.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **reports.ORACLES, **retrieval.ORACLES, **trials.ORACLES, **upkeep.ORACLES}
 
 
 def listing(spark: SparkSession) -> DataFrame:
