@@ -136,9 +136,8 @@ def delta_extremes(spark, sf_dir):
 
 def summary_grouping_sets(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("part", F.when(T.coin(F.col("doc_id").cast("string")) == 1, "development").otherwise("held_out")).withColumn("size", F.col("n_chars").cast("string"))
-    rows.createOrReplaceTempView("labelled_rows")
     return spark.sql("""SELECT part, lang, source, quality, count(*) AS n, count(DISTINCT doc_id) AS docs, count_if(toxic = 1) AS toxic, count_if(quality IS NULL) AS unlabelled
-FROM labelled_rows GROUP BY GROUPING SETS ((part, lang), (part, source), (part, quality))""")
+FROM {rows} GROUP BY GROUPING SETS ((part, lang), (part, source), (part, quality))""", rows=rows)
 
 
 def null_poison_sum(spark, sf_dir):

@@ -100,11 +100,10 @@ def event_log(spark: SparkSession, path: str, schema: StructType, most: int = 1
 def nested_declarations(docs: DataFrame, column: str, name: str = "name") -> DataFrame:
     """(path, name) of every object in a JSON document that declares a name, however deep."""
     parsed = docs.select(F.parse_json(F.col(column)).alias("v"))
-    parsed.createOrReplaceTempView("nested_documents")
     return docs.sparkSession.sql(f"""
         WITH RECURSIVE walk AS (
-          SELECT '$' AS path, v FROM nested_documents
+          SELECT '$' AS path, v FROM {{parsed}}
           UNION ALL
           SELECT path || coalesce('.' || e.key, '[' || e.pos || ']'), e.value FROM walk, LATERAL variant_explode(v) AS e
         )
-        SELECT path, try_variant_get(v, '$.{name}', 'string') AS name FROM walk WHERE try_variant_get(v, '$.{name}', 'string') IS NOT NULL""")
+        SELECT path, try_variant_get(v, '$.{name}', 'string') AS name FROM walk WHERE try_variant_get(v, '$.{name}', 'string') IS NOT NULL""", parsed=parsed)
