@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jpeg, licenses, lm, packing, simhash, sql, substring, token_counts, token_store, toxicity
+from corpusmill.llm import decontaminate, jpeg, kmeans, licenses, lm, middle, packing, simhash, sql, substring, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_media": jpeg.op10_media,
+    "op12_clusters": kmeans.op12_clusters,
+    "op13_middle": middle.op13_middle,
 }
 
-ORACLES: dict[str, str] = {"op1_substring": sql.SUBSTRING, "op9_decontaminate": sql.DECONTAMINATE}
+ORACLES: dict[str, str] = {
+    "op1_substring": sql.SUBSTRING,
+    "op9_decontaminate": sql.DECONTAMINATE,
+    "op12_clusters": sql.clusters(),
+    "op13_middle": sql.MIDDLE,
+}
