@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jpeg, kmeans, licenses, lm, middle, packing, simhash, sql, substring, token_counts, token_store, toxicity
+from corpusmill.llm import decontaminate, jpeg, kmeans, licenses, lm, middle, neighbours, packing, simhash, sql, substring, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_media": jpeg.op10_media,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_clusters": kmeans.op12_clusters,
     "op13_middle": middle.op13_middle,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_substring": sql.SUBSTRING,
     "op9_decontaminate": sql.DECONTAMINATE,
+    "op11_neighbours": sql.NEIGHBOURS,
     "op12_clusters": sql.clusters(),
     "op13_middle": sql.MIDDLE,
 }

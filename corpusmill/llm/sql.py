@@ -55,3 +55,10 @@ def clusters(rounds: int = 5, centroids: int = 40) -> str:
     return f"""WITH {", ".join(parts)}
 SELECT vec_id, l.cluster::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY l.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, {digest} AS centroid_sha256
 FROM last l JOIN c{rounds} USING (cluster)"""
+
+
+#: Every pair measured; the graph search finds these rows where its lists are complete, as they are on tables of one block.
+NEIGHBOURS = """WITH kept AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM kept q JOIN kept c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20"""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import kmeans
+from corpusmill.llm import kmeans, neighbours
 
 NAN, INF = float("nan"), float("inf")
 
@@ -59,3 +59,53 @@ def test_too_large_components_and_empty_tables(spark):
         kmeans.integer_vectors(big, size=5).collect()
     got, centres = kmeans.cluster(kmeans.integer_vectors(big.limit(0), size=5), size=5)
     assert got.collect() == [] and len(centres) == 0
+
+
+def usable(rows):
+    return sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
+
+
+def brute(rows, every, k):
+    kept = usable(rows)
+    out = []
+    for i, v in kept:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in kept if j != i)[:k]
+            out += [(i, n + 1, j, round(-s, 9)) for n, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in df.collect())
+
+
+AWKWARD = [(900, None), (901, []), (902, [0.0] * 6), (903, [NAN] + [1.0] * 5), (904, [1.0, -INF]), (905, [None, 1.0]), (None, [1.0] * 6), (905, [2.0, 1.0]), (906, [1.0] * 9), (40, [3.0] * 6)]
+
+
+def test_neighbours_of_one_block_are_exact(spark):
+    """Copies, repeated rows, ties, vectors of other lengths and norms, ids of two vectors."""
+    rows = vectors(150, 6, 5) + [(k, [0.25] * 6) for k in range(200, 240)] + AWKWARD
+    rows += [rows[0], rows[20], (20, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({n: F.lit("clash") for n in ("key", "node", "small", "query", "score", "uses")})
+    assert found(neighbours.nearest(df, 10, k=7)) == brute(rows, 10, 7)
+
+
+def test_neighbours_of_few_vectors(spark):
+    schema = "vec_id long, embedding array<double>"
+    few = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 1.0])]
+    assert found(neighbours.nearest(spark.createDataFrame(few, schema), 2)) == brute(few, 2, 20)
+    assert found(neighbours.nearest(spark.createDataFrame(few[:1], schema), 1)) == []
+    assert found(neighbours.nearest(spark.createDataFrame([], schema), 1)) == []
+
+
+def test_recall_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.standard_normal((12, 24))
+    rows = [(k, (middles[k % 12] * 0.5 + rng.standard_normal(24) * (1 + k % 3)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(neighbours.nearest(df, 20, leaf=300)), brute(rows, 20, 20)
+    assert len(got) == len(want)
+    pairs = {(q, v) for q, _, v, _ in want}
+    assert sum((q, v) in pairs for q, _, v, _ in got) >= 0.9 * len(want)
+    scores = {r[0]: np.array(r[1]) for r in rows}
+    assert all(abs(s - scores[q] @ scores[v]) < 1e-8 for q, _, v, s in got)
