@@ -35,7 +35,7 @@ from corpusmill.llm.common import batches, begin, hot_join, partition_number, st
 NEAREST, LIST, REVERSE, LEAF, BEAM = 20, 60, 30, 2048, 24
 OFFERS = 3  # best other members a hub offers to a member in one round
 SETTLED, ROUNDS = 0.03, 12  # a round that changes a smaller share of all entries is the last
-HUBS, QUERIES = 1024, 256  # nodes, and queries, that share what they ask for
+HUBS, QUERIES, TAKERS = 128, 16, 1024  # nodes, and queries, that share what they ask for; nodes whose lists are merged together
 SIGNS, SEED = 24, 11
 
 
@@ -217,7 +217,7 @@ def _fetched(states: DataFrame, block: str, asked: DataFrame, source: DataFrame,
 
 def graph(nodes: DataFrame, size: int = LIST, reverse: int = REVERSE, settled: float = SETTLED, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
     """Neighbour lists (``node``, ``ids``, ``near``) of ``nodes`` (``node``, ``small``, ``code1``) by NN-descent."""
-    block = F.floor(F.col("node") / HUBS)
+    shared, block = F.floor(F.col("node") / HUBS), F.floor(F.col("node") / TAKERS)
     vectors = nodes.select("node", "small")
     first = nodes.select(F.floor(F.col("node") / leaf).alias("leaf"), "node", "small").groupBy("leaf").applyInArrow(_leaf(size), _OFFERS_DDL)
     second = _numbered(nodes.select("node", "small", "code1"), ["code1", "node"], "place")
@@ -232,7 +232,7 @@ def graph(nodes: DataFrame, size: int = LIST, reverse: int = REVERSE, settled: f
         edges = lists.select(F.col("node").alias("other"), F.explode(F.arrays_zip("ids", "new")).alias("e")).select(F.col("e.ids").alias("node"), "other", F.col("e.new").alias("new"))
         drawn = F.row_number().over(_window("node", [F.xxhash64("other", F.lit(number))]))
         back = edges.withColumn("n", drawn).filter(F.col("n") <= reverse).groupBy("node").agg(F.collect_list(F.struct("other", "new")).alias("b"))
-        hubs = stage(lists.join(back, "node", "left").select("node", "ids", "near", "new", F.col("b.other").alias("back"), F.col("b.new").alias("backnew"), block.alias("block")), "neighbours-hubs")
+        hubs = stage(lists.join(back, "node", "left").select("node", "ids", "near", "new", F.col("b.other").alias("back"), F.col("b.new").alias("backnew"), shared.alias("block")), "neighbours-hubs")
         asked = hubs.select("block", F.explode(F.array_union("ids", F.coalesce("back", F.array().cast("array<long>")))).alias("node"))
         least = F.when(F.size("near") >= size, F.element_at("near", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("least")
         source = vectors.join(lists.select("node", least), "node")
@@ -249,71 +249,87 @@ def _window(by: str, order: list[Column]):
 
 
 _SEARCH = pa.schema(
-    [("block", pa.int64()), ("query", pa.int64()), ("embedding", pa.list_(pa.float64())), ("seen", pa.list_(pa.int64())), ("best", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())),
+    [("block", pa.int64()), ("query", pa.int64()), ("small", pa.binary()), ("seen", pa.list_(pa.int64())), ("best", pa.list_(pa.int64())), ("near", pa.list_(pa.float32())),
      ("opened", pa.list_(pa.int64())), ("ask", pa.list_(pa.int64()))]
 )
-_SEARCH_DDL = "block long, query long, embedding array<double>, seen array<long>, best array<long>, score array<double>, opened array<long>, ask array<long>"
+_SEARCH_DDL = "block long, query long, small binary, seen array<long>, best array<long>, near array<float>, opened array<long>, ask array<long>"
+_FOUND = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
 
 
 def _searches(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[] for _ in _SEARCH], _SEARCH)], schema=_SEARCH)
 
 
+def _rows(t: pa.Table) -> Iterator[tuple]:
+    return zip(*(t[n].to_pylist() for n in _SEARCH.names))
+
+
 def _open(t: pa.Table, lists: pa.Table) -> pa.Table:
     """Queries read the lists of the nodes they open and ask for the vectors of nodes not seen before."""
     ids = dict(zip(lists["node"].to_pylist(), lists["ids"].to_pylist()))
     rows = []
-    for block, query, x, seen, best, score, opened, ask in zip(*(t[n].to_pylist() for n in _SEARCH.names)):
+    for block, query, small, seen, best, near, opened, ask in _rows(t):
         have, wanted = set(seen), {}
         for node in ask:
             wanted.update(dict.fromkeys(w for w in ids.get(node, ()) if w not in have))
-        rows.append((block, query, x, seen, best, score, opened + ask, list(wanted)))
+        rows.append((block, query, small, seen, best, near, opened + ask, list(wanted)))
     return _searches(rows)
 
 
-def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of ``x`` with ``y``, summed from left to right."""
-    n = min(x.shape[1], len(y))
-    return np.cumsum(x[:, :n] * y[:n], axis=1)[:, -1]
-
-
 def _measure(beam: int):
     def run(t: pa.Table, vectors: pa.Table) -> pa.Table:
         """Queries measure the vectors they asked for, keep the best and choose what to open next."""
-        nodes = vectors["node"].to_numpy()
-        order = np.argsort(nodes)
-        nodes, x = nodes[order], _matrix(vectors["embedding"].combine_chunks())[order]
-        rows = []
-        for block, query, y, seen, best, score, opened, ask in zip(*(t[n].to_pylist() for n in _SEARCH.names)):
+        nodes, x = vectors["node"].to_numpy(), _halves(vectors["small"])
+        order, rows = np.argsort(nodes), []
+        for block, query, small, seen, best, near, opened, ask in _rows(t):
             if ask:
-                at = np.searchsorted(nodes, ask)
-                best = np.concatenate([best, ask]).astype(np.int64)
-                score = np.concatenate([score, products(x[at], np.array(y))])
-                top = np.lexsort((best, -score))[:beam]
-                best, score = best[top].tolist(), score[top].tolist()
+                y = np.frombuffer(small, np.float16).astype(np.float32)
+                n = min(len(y), x.shape[1])
+                at = order[np.searchsorted(nodes, ask, sorter=order)]
+                ids = np.concatenate([best, ask]).astype(np.int64)
+                found = np.concatenate([near, x[at, :n] @ y[:n]])
+                top = np.lexsort((ids, -found))[:beam]
+                best, near = ids[top].tolist(), found[top].tolist()
             done = set(opened)
-            rows.append((block, query, y, seen + ask, best, score, opened, [n for n in best if n not in done]))
+            rows.append((block, query, small, seen + ask, best, near, opened, [n for n in best if n not in done]))
         return _searches(rows)
 
     return run
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``x`` with ``y``, summed from left to right."""
+    n = min(x.shape[1], len(y))
+    return np.cumsum(x[:, :n] * y[:n], axis=1)[:, -1]
+
+
+def _score(t: pa.Table, vectors: pa.Table) -> pa.Table:
+    """The inner products of queries with the best they met, on the original components."""
+    nodes, x = vectors["node"].to_numpy(), _matrix(vectors["embedding"].combine_chunks())
+    order = np.argsort(nodes)
+    at = lambda ids: order[np.searchsorted(nodes, ids, sorter=order)]
+    query, best = t["query"].to_pylist(), t["best"].to_pylist()
+    scores = [products(x[at(b)], x[at(q)]) for q, b in zip(query, best)]
+    return pa.Table.from_arrays([pa.array(np.repeat(query, [len(b) for b in best])), pa.array(np.concatenate(best).astype(np.int64)), pa.array(np.concatenate(scores))], schema=_FOUND)
+
+
 def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(``query``, ``best``, ``score``) of greedy searches for the ``queries`` (``node``, ``embedding``), which are nodes of the graph.
+    """(``query``, ``node``, ``score``) of greedy searches from the ``queries`` (``node``, ``small``), which are nodes of the graph.
 
-    ``best`` are the nodes of largest inner product, the query's own among them.
+    The ``beam`` nodes of largest inner product that each query meets, itself among them.
     """
-    exact = nodes.select("node", "embedding")
     none = F.array().cast("array<long>")
     state = queries.select(
-        F.floor(F.col("node") / F.lit(QUERIES * 20)).alias("block"), F.col("node").alias("query"), "embedding",
-        none.alias("seen"), none.alias("best"), F.array().cast("array<double>").alias("score"), none.alias("opened"), F.array("node").alias("ask"),
+        F.floor(F.col("node") / F.lit(QUERIES * 20)).alias("block"), F.col("node").alias("query"), "small",
+        none.alias("seen"), none.alias("best"), F.array().cast("array<float>").alias("near"), none.alias("opened"), F.array("node").alias("ask"),
     )
+    vectors = nodes.select("node", "small")
     asks = lambda s: s.select("block", F.explode("ask").alias("node"))
     while True:
-        state = stage(_fetched(state, "block", asks(state), exact, _measure(beam), _SEARCH_DDL), "neighbours-measured")
+        state = stage(_fetched(state, "block", asks(state), vectors, _measure(beam), _SEARCH_DDL), "neighbours-measured")
         if state.filter(F.size("ask") > 0).isEmpty():
-            return state.select("query", "best", "score")
+            best = state.select("block", F.explode(F.array_union("best", F.array("query"))).alias("node"))
+            return _fetched(state.select("block", "query", "best"), "block", best, nodes.select("node", "embedding"), _score, "query long, node long, score double")
         state = stage(_fetched(state, "block", asks(state), lists, _open, _SEARCH_DDL), "neighbours-opened")
 
 
@@ -322,10 +338,10 @@ def nearest(vectors: DataFrame, every: int, k: int = NEAREST, beam: int = BEAM,
     rows = usable(vectors)
     asks = F.col("vec_id") % every == 0
     ids = stage(rows.select("key", "vec_id").distinct(), "neighbours-ids")
-    classes = rows.groupBy("key").agg(F.first("embedding").cast("array<double>").alias("embedding"))
+    classes = rows.groupBy("key").agg(F.first("embedding").alias("embedding"))
     uses = ids.groupBy("key").agg(F.count("*").alias("uses"), F.count_if(asks).alias("queries"))
     classes = stage(classes.join(uses, "key"), "neighbours-classes")
-    squares = classes.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
+    squares = classes.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if squares is None:
         return empty
@@ -333,12 +349,11 @@ def nearest(vectors: DataFrame, every: int, k: int = NEAREST, beam: int = BEAM,
     nodes = _numbered(placed, ["code0", "key"], "node")
     nodes = stage(nodes.join(classes, "key"), "neighbours-nodes")
     lists = graph(nodes, leaf=leaf)
-    found = search(lists, nodes, nodes.filter("queries > 0").select("node", "embedding"), max(beam, k + 4))
+    found = search(lists, nodes, nodes.filter("queries > 0").select("node", "small"), max(beam, k + 4))
     # the k + 1 best rows of each class that asks; a query leaves itself out
     first = ids.withColumn("n", F.row_number().over(_window("key", [F.col("vec_id")]))).filter(F.col("n") <= k + 1).select("key", "vec_id")
     members = first.join(nodes.select("key", "node"), "key").select("node", "vec_id")
-    pairs = found.select("query", F.explode(F.arrays_zip("best", "score")).alias("p")).select("query", F.col("p.best").alias("node"), F.col("p.score").alias("score"))
-    ranked = pairs.join(members, "node").withColumn("n", F.row_number().over(_window("query", [F.desc("score"), F.col("vec_id")]))).filter(F.col("n") <= k + 1)
+    ranked = found.join(members, "node").withColumn("n", F.row_number().over(_window("query", [F.desc("score"), F.col("vec_id")]))).filter(F.col("n") <= k + 1)
     answers = ranked.groupBy(F.col("query").alias("node")).agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     answers = stage(nodes.select("node", "key", "queries").join(answers, "node").select("key", "queries", "best"), "neighbours-answers")
     total = ids.filter(asks).count()
