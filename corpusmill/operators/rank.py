@@ -6,10 +6,15 @@ row are counted, and only distinct words are expanded into tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions import words
 
 # Fixed values of the ranking function and of query admission.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -60,6 +65,49 @@ def score_of(n: int) -> Column:
     return score
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scanned table whose files make fewer tasks than there are cores, dealt to all of them; a larger one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def term_counts(rows: DataFrame, key: str, fields: dict[str, str], terms: list[str], weights: dict[str, float], underscore: bool = True) -> DataFrame:
+    """(key, len, f0, f1, ...): search tokens of each row in all fields, and the weighted count of each of ``terms``, null for none.
+
+    One pass: nothing but the counts leaves the texts' tasks.  Null fields hold no token.
+    """
+    kind = dict(rows.dtypes)[key]
+    names, weight = list(fields), [float(weights.get(f, 1.0)) for f in fields]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.Vocabulary(underscore)
+        for b in parts:
+            known.trim()
+            length = np.zeros(len(b), np.int64)
+            found = np.zeros((len(terms), len(b)))
+            for f in range(len(names)):
+                sequences = [known.sequence(x.as_py()) for x in b.column(f + 1)]
+                sizes = np.fromiter(map(len, sequences), np.int64, len(b))
+                length += sizes
+                every = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
+                row = np.repeat(np.arange(len(b)), sizes)
+                for i, t in enumerate(terms):
+                    found[i] += weight[f] * np.bincount(row[every == known.numbers.get(t, -1)], minlength=len(b))
+            columns = [pa.array(np.where(f > 0, f, np.nan), from_pandas=True) for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length), *columns], names=["key", "len", *(f"f{i}" for i in range(len(terms)))])
+
+    ddl = f"key {kind}, len long" + "".join(f", f{i} double" for i in range(len(terms)))
+    # dealt after the pass: statistics and scores then share one exchange of counts instead of reading the texts twice
+    return rows.select(key, *fields.values()).mapInArrow(run, ddl).withColumnRenamed("key", key).repartition(key)
+
+
+def bm25_of(counted: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, score) of the rows of ``term_counts`` that hold one of its ``n`` terms; statistics cover all of its rows."""
+    corpus = counted.agg(F.count("*").alias("n_rows"), F.sum("len").alias("total"), *[F.count(f"f{i}").alias(f"df{i}") for i in range(n)])
+    matched = counted.filter(F.coalesce(*[F.col(f"f{i}") for i in range(n)]).isNotNull())
+    return matched.crossJoin(F.broadcast(corpus)).select(key, score_of(n).alias("score"))
+
+
 def bm25(posted: DataFrame, rows: DataFrame, key: str, terms: list[str], weights: dict[str, float]) -> DataFrame:
     """(key, score) of the rows that hold a term; statistics cover every row of ``rows``, matched or not.
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = rank.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     w = chunking.line_windows(docs, "doc_id", "text")
     return w.withColumn("chunk_id", F.concat_ws(":", "doc_id", "start_line"))
 
@@ -58,32 +58,26 @@ def path_policy(spark, sf_dir):
     return shown.select("page_id", "path", policy.excluded(F.col("path"), rules).alias("excluded"))
 
 
-def _posted(spark, sf_dir, fields):
-    w = _windows(spark, sf_dir)
-    return w, rank.postings(w, "chunk_id", fields)
-
-
 def bm25_topk(spark, sf_dir):
     w = _windows(spark, sf_dir)
     terms = [t for p in rank.query_phrases(spark, QUERY) for t in p]
-    scored = rank.bm25(rank.postings(w, "chunk_id", {"body": "content"}), w, "chunk_id", terms, {"body": 1.0})
+    scored = rank.bm25_of(rank.term_counts(w, "chunk_id", {"body": "content"}, terms, {}), "chunk_id", len(terms))
     # equal texts tie exactly in SQL but not to the last bit here, so rank by the rounded score
     best = rank.top(scored.withColumn("score", F.round("score", 6)), 20, "chunk_id")
     return best.select("chunk_id", "score")
 
 
 def bm25_two_field(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("symbol", F.concat_ws(" ", "source", "lang"))
-    posted = rank.postings(docs, "doc_id", {"symbol": "symbol", "body": "text"})
-    scored = rank.bm25(posted, docs, "doc_id", ["en", "license", "the"], {"symbol": 8.0, "body": 1.0})
-    return scored.select("doc_id", F.round("score", 6).alias("score"))
+    docs = rank.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).withColumn("symbol", F.concat_ws(" ", "source", "lang"))
+    counted = rank.term_counts(docs, "doc_id", {"symbol": "symbol", "body": "text"}, ["en", "license", "the"], {"symbol": 8.0})
+    return rank.bm25_of(counted, "doc_id", 3).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_path_fusion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    docs = rank.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
     terms = ["src1", "license"]
-    body = rank.bm25(rank.postings(docs, "doc_id", {"body": "text"}), docs, "doc_id", terms, {"body": 1.0})
-    path = rank.bm25(rank.postings(docs, "doc_id", {"path": "path"}), docs, "doc_id", terms, {"path": 3.0})
+    body = rank.bm25_of(rank.term_counts(docs, "doc_id", {"body": "text"}, terms, {}), "doc_id", 2)
+    path = rank.bm25_of(rank.term_counts(docs, "doc_id", {"path": "path"}, terms, {"path": 3.0}), "doc_id", 2)
     return rank.fused(body, path, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 

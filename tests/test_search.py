@@ -108,3 +108,21 @@ def test_phrases_count_overlaps(spark):
 def test_limits(spark):
     with pytest.raises(ValueError):
         rank.top(spark.createDataFrame([(1, 1.0)], "id int, score double"), 21, "id")
+
+
+def test_arrow_tokens_equal_those_of_column_expressions(spark):
+    from corpusmill.functions import words
+
+    texts = ["getHTTPResponse2Code foo_bar cc-by/4.0 ÀÉÎ ñandú ΣΊΣΥΦΟΣ x", "", "__init__ $var. -- / a.b.c- 日本語テキスト ⅫVal ½x I’m", "snake_Case2Camel\nnew\tLine", "İstanbul Straße ǅ éclair"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for underscore in (True, False):
+        tokens = F.flatten(F.transform(T.tokens(F.col("text")), lambda t: T.search_tokens(t, underscore)))
+        known = words.Vocabulary(underscore)
+        for row in df.select("text", tokens.alias("t")).collect():
+            assert [known.terms[i] for i in known.sequence(row.text)] == list(row.t), row.text
+
+
+def test_term_counts_of_null_and_empty_texts(spark):
+    rows = spark.createDataFrame([(1, "a b a", None), (2, None, "b"), (3, "", ""), (3, "a", "a")], "id long, body string, title string")
+    got = sorted((r.id, r["len"], r.f0, r.f1) for r in rank.term_counts(rows, "id", {"body": "body", "title": "title"}, ["a", "b"], {"title": 2.0}).collect())
+    assert got == [(1, 3, 2.0, 1.0), (2, 1, None, 2.0), (3, 0, None, None), (3, 2, 3.0, None)]
