@@ -1,10 +1,4 @@
-"""A stored index and the ranked search over it.
-
-Four tables are written once: ``paths`` (path_id, path, identity), ``chunks`` (chunk_id, identity,
-start_line, end_line, symbol, body), and for chunks and for paths the postings (key, field, term,
-places, len) in ranges of ``term``, so that a search reads the row groups of its terms alone, with
-one row of statistics each.  Statistics span every stored content, whatever a view shows of them.
-"""
+"""What searches of a stored index share: names of contents, field weights, folders, and phrase scores."""
 
 from __future__ import annotations
 
@@ -12,11 +6,10 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as T
-from corpusmill.operators import chunking, rank
+from corpusmill.operators import rank
 
 # Field weights of the two rankings.
 CHUNK_WEIGHTS, PATH_WEIGHTS = {"symbol": 8.0, "body": 1.0}, {"path": 3.0}
@@ -37,89 +30,6 @@ def identity(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def positional(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(key, field, term, places, len): where a field holds a search token, with the tokens of the whole row.
-
-    Rows are dealt by ``key`` once; counting and lengths stay inside that partitioning.
-    """
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in fields.items()])
-    dealt = rows.select(key, *fields.values()).repartition(key).select(key, F.explode(cells).alias("cell"))
-    tokens = F.flatten(F.transform(T.tokens(F.col("cell.value")), lambda t: T.search_tokens(t)))
-    spots = dealt.select(key, F.col("cell.field").alias("field"), F.posexplode(tokens).alias("place", "term"))
-    lists = spots.groupBy(key, "field", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return lists.withColumn("len", F.sum(F.size("places")).over(Window.partitionBy(key)))
-
-
-def build(files: DataFrame, contents: DataFrame, folder: str) -> str:
-    """Writes the index of ``files`` (path_id, path, identity) and ``contents`` (identity, text).
-
-    A content that several paths share is cut and posted once.  The manifest comes last: a
-    folder without it is not an index.
-    """
-    spark = files.sparkSession
-    files.select("path_id", "path", "identity").write.parquet(f"{folder}/paths")
-    windows = chunking.line_windows(contents, "identity", "text").withColumnRenamed("content", "body")
-    named = windows.withColumn("chunk_id", F.concat_ws(":", F.left("identity", F.lit(32)), "start_line")).withColumn("symbol", F.lit(None).cast("string"))
-    named.select("chunk_id", "identity", "start_line", "end_line", "symbol", "body").write.parquet(f"{folder}/chunks")
-    for name, key, fields in (("chunks", "chunk_id", {"symbol": "symbol", "body": "body"}), ("paths", "path_id", {"path": "path"})):
-        rows = spark.read.parquet(f"{folder}/{name}")
-        rows = rows if name == "chunks" else rows.select("path_id", "path").distinct()
-        posted = positional(rows, key, fields).repartitionByRange("term", key).sortWithinPartitions("term")
-        posted.write.parquet(f"{folder}/{name}_postings")
-        total = spark.read.parquet(f"{folder}/{name}_postings").agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("total"))
-        total.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_rows")))).write.parquet(f"{folder}/{name}_stats")
-    spark.range(1).select(F.lit(1).alias("version")).write.parquet(f"{folder}/manifest")
-    return folder
-
-
-class Index:
-    """A stored index, opened for searches."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        spark.read.schema("version int").parquet(f"{folder}/manifest").first()
-        self.spark, self.folder = spark, folder
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def chunk_scores(self, phrases: list[list[str]]) -> DataFrame:
-        """(chunk_id, score) of the chunks that hold a phrase."""
-        return phrase_bm25(self.table("chunks_postings"), self.table("chunks_stats"), "chunk_id", phrases, CHUNK_WEIGHTS)
-
-    def path_scores(self, phrases: list[list[str]]) -> DataFrame:
-        """(path_id, score) of the paths that hold a phrase."""
-        return phrase_bm25(self.table("paths_postings"), self.table("paths_stats"), "path_id", phrases, PATH_WEIGHTS)
-
-    def path_candidates(self, active: DataFrame, phrases: list[list[str]]) -> DataFrame:
-        """(path_id, chunk_id, start_line, score): a path's score goes to every chunk of its active content."""
-        places = self.table("chunks").select("chunk_id", "identity", "start_line")
-        return active.join(self.path_scores(phrases), "path_id").join(places, "identity").select("path_id", "chunk_id", "start_line", "score")
-
-    def candidates(self, active: DataFrame, phrases: list[list[str]]) -> DataFrame:
-        """(path_id, chunk_id, start_line, score): chunk and path scores added up over the active view."""
-        places = self.table("chunks").select("chunk_id", "identity", "start_line")
-        found = places.join(self.chunk_scores(phrases), "chunk_id").join(active, "identity").select("path_id", "chunk_id", "start_line", "score")
-        both = found.unionByName(self.path_candidates(active, phrases))
-        return both.groupBy("path_id", "chunk_id", "start_line").agg(F.sum("score").alias("score"))
-
-    def search(self, active: DataFrame, query: str, k: int = 5) -> DataFrame:
-        """The k best chunks of the view ``active`` (path_id, path, identity), with excerpts, in their final places.
-
-        The cut goes by score, then path number and line; the places go by score, then path and
-        line.  Bodies are read for the k rows that are left only.
-        """
-        phrases = rank.query_phrases(self.spark, query)
-        scored = self.candidates(active.select("path_id", "identity"), phrases).withColumn("score", F.round("score", 6))
-        best = F.broadcast(rank.top(scored, k, "path_id", "start_line").select("path_id", "chunk_id", "score"))
-        shown = self.table("chunks").join(best, "chunk_id").join(active.select("path_id", "path"), "path_id")
-        shown = rank.excerpt(shown, "body", rank.query_terms(self.spark, query), "start_line")
-        placed = shown.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "path", "start_line")))
-        return placed.select(
-            "place", "path", "start_line", "end_line", "symbol", F.col("excerpt").alias("content"), F.col("excerpt_start").alias("snippet_start_line"),
-            F.col("excerpt_end").alias("snippet_end_line"), "truncated", F.col("identity").alias("content_identity"), "score",
-        )
-
-
 def phrase_bm25(posted: DataFrame, stats: DataFrame, key: str, phrases: list[list[str]], weights: dict[str, float]) -> DataFrame:
     """(key, score): BM25 where a compound term counts as the phrase of its tokens, adjacent in one field.
 

@@ -99,29 +99,45 @@ class VersionedTable:
         pointers = self.fs.globStatus(self.path(f"{self.root}/pointer-*"))
         return max([int(p.getPath().getName().rpartition("-")[2]) for p in pointers or []], default=0)
 
-    def read(self) -> DataFrame:
-        """The published version."""
-        stream = self.fs.open(self.path(f"{self.root}/pointer-{self.current():012d}"))
+    def about(self, version: int | None = None) -> dict:
+        """What the pointer of a version says; of none published, nothing."""
+        version = self.current() if version is None else version
+        if not version:
+            return {}
+        stream = self.fs.open(self.path(f"{self.root}/pointer-{version:012d}"))
         try:
-            folder = json.loads(bytes(stream.readAllBytes()).decode())["folder"]
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+
+    def read(self) -> DataFrame:
+        """The published version."""
+        return self.spark.read.parquet(f"{self.root}/{self.about()['folder']}")
+
+    def point(self, about: dict, expected: int) -> bool:
+        """Publish what was written before, if the version is still the expected one; creating the pointer decides a race."""
+        target = self.path(f"{self.root}/pointer-{expected + 1:012d}")
+        if self.current() != expected or self.fs.exists(target):
+            return False
+        try:
+            out = self.fs.create(target, False)
+        except Exception as taken:  # another writer was first
+            if "FileAlreadyExists" not in str(taken):
+                raise
+            return False
+        out.write(json.dumps(about).encode())
+        out.close()
+        return True
+
+    def remove(self, folder: str) -> None:
+        """Take a folder that no version points at away."""
+        self.fs.delete(self.path(f"{self.root}/{folder}"), True)
 
     def publish(self, df: DataFrame, expected: int) -> bool:
-        """Write ``df`` and point at it if the version is still the expected one; creating the pointer decides a race."""
+        """Write ``df`` and point at it if the version is still the expected one."""
         folder = f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        target = self.path(f"{self.root}/pointer-{expected + 1:012d}")
-        if self.current() == expected and not self.fs.exists(target):
-            try:
-                out = self.fs.create(target, False)
-            except Exception as taken:  # another writer was first
-                if "FileAlreadyExists" not in str(taken):
-                    raise
-            else:
-                out.write(json.dumps({"folder": folder}).encode())
-                out.close()
-                return True
-        self.fs.delete(self.path(f"{self.root}/{folder}"), True)
+        if self.point({"folder": folder}, expected):
+            return True
+        self.remove(folder)
         return False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import index, rank, versions
+from corpusmill.operators import index, rank, segments, versions
 from corpusmill.plans import search
 from corpusmill.plans.search import table
 
@@ -17,7 +17,7 @@ def _path(source: str = "source"):
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = rank.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).filter("text IS NOT NULL")
     return docs.select(F.col("doc_id").alias("path_id"), _path().alias("path"), index.identity(F.col("text")).alias("identity"), "text")
 
 
@@ -29,23 +29,15 @@ def _overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("path_id", "path", index.identity(F.col("text")).alias("identity"), "text")
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of all contents, committed and edited."""
-    base, overlay = _base(spark, sf_dir), _overlay(spark, sf_dir)
-    files = base.unionByName(overlay.filter("text IS NOT NULL"))
-    contents = files.groupBy("identity").agg(F.any_value("text").alias("text"))
-    return index.Index(spark, index.build(files, contents, index.shared_folder(spark)))
-
-
-def active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, path, identity): what a user of the edited tree sees."""
-    view = versions.active_view(_base(spark, sf_dir), _overlay(spark, sf_dir), ["path_id"], "text")
-    return view.select("path_id", "path", "identity")
+def stored_index(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The index of all contents, committed and edited; statistics span what is stored, whatever the view shows."""
+    held = segments.Segments(spark, index.shared_folder(spark), live=False)
+    return held.refresh(_base(spark, sf_dir).select("path_id", "path", "text")).refresh(_overlay(spark, sf_dir).select("path_id", "path", "text"))
 
 
 def search_active(spark, sf_dir):
     """The twenty best chunks of the active view, with excerpts."""
-    out = stored_index(spark, sf_dir).search(active(spark, sf_dir), QUERY, 20)
+    out = stored_index(spark, sf_dir).search(QUERY, 20)
     places = {c: F.col(c).cast("long") for c in ("place", "start_line", "end_line", "snippet_start_line", "snippet_end_line")}
     return out.withColumns(places).withColumn("content", F.sha2("content", 256))
 
@@ -58,13 +50,13 @@ def search_phrase(spark, sf_dir):
 
 def path_fanout(spark, sf_dir):
     """Path scores, one row for every chunk of each active file."""
-    found = stored_index(spark, sf_dir).path_candidates(active(spark, sf_dir).select("path_id", "identity"), rank.query_phrases(spark, QUERY))
+    found = stored_index(spark, sf_dir).path_candidates(rank.query_phrases(spark, QUERY))
     return found.select("path_id", F.col("start_line").cast("long"), F.round("score", 6).alias("score"))
 
 
 def indexed_counts(spark, sf_dir):
     """Chunks of every path of the inventory, unindexed ones with none."""
-    chunks = stored_index(spark, sf_dir).table("chunks").groupBy("identity").agg(F.count("*").alias("chunks"))
+    chunks = stored_index(spark, sf_dir).table("contents").select("identity", "chunks")
     inventory = table(spark, sf_dir, "documents").select(_path().alias("path"), index.identity(F.col("text")).alias("identity"))
     return inventory.join(chunks, "identity", "left").groupBy("path").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
 

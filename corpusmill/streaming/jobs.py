@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusmill.operators import versions
+from corpusmill.operators import segments, versions
 
 
 def idle_sessions(events: DataFrame, key: str, at: str, gap: str, late: str = "10 minutes") -> DataFrame:
@@ -58,3 +58,18 @@ def refresh(base_path: str, key: str, regular: Column):
         versions.apply_changes(before, changes, key, regular).write.mode("overwrite").parquet(f"{base_path}/{batch}")
 
     return apply
+
+
+def refresh_index(root: str):
+    """A ``foreachBatch`` step that brings batches of changes (path_id, path, text) into a segmented index and merges when due.
+
+    A batch that runs again after a failure finds its number in the index and changes nothing.
+    """
+
+    def apply(changes: DataFrame, batch: int) -> None:
+        held = segments.Segments(changes.sparkSession, root).refresh(changes, batch)
+        if held is None:
+            raise RuntimeError("another writer refreshed the index; the batch has to run again")
+        held.merge()
+
+    return apply
