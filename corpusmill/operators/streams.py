@@ -33,6 +33,30 @@ def stream_digest(parts: DataFrame, handle: str, ordinal: str, content: str) ->
     )
 
 
+def capture_outcomes(parts: DataFrame, handle: str, ordinal: str, content: str) -> DataFrame:
+    """(handle, parts, bytes, lines, outcome, capture_error, digest): what capture makes of whole streams of binary parts.
+
+    ``passed`` up to a page, ``stored`` above, else ``fallback`` with the first of too_large, nul and invalid_utf8 that
+    holds.  Sizes are summed first, so a stream over the cap is never put together and its digest and lines are null;
+    digests are for what was kept.  A null part counts and has no bytes.
+    """
+    raw = parts.select(handle, F.col(ordinal).alias("__o"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("__c"))
+    sized = raw.groupBy(handle).agg(F.count("*").alias("parts"), F.sum(F.octet_length("__c")).alias("bytes"))
+    large = sized.filter(F.col("bytes") > RESERVED)
+    whole = raw.join(large.select(handle), handle, "left_anti").groupBy(handle).agg(F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct(F.col("__o"), F.hex("__c").alias("__h")))).alias("__p"))
+    whole = whole.withColumn("__w", F.unhex(F.array_join(F.transform("__p", lambda p: p["__h"]), ""))).withColumn("__t", F.expr("try_validate_utf8(CAST(__w AS STRING))"))
+    feeds = F.octet_length("__t") - F.octet_length(F.replace(F.col("__t"), F.lit("\n"), F.lit("")))
+    lines = F.when(F.octet_length("__w") == 0, 0).otherwise(feeds + F.when(F.right("__t", F.lit(1)) == "\n", 0).otherwise(1))
+    error = F.when(F.locate("\0", F.col("__w").cast("string")) > 0, "nul").when(F.col("__t").isNull(), "invalid_utf8")
+    kept = whole.select(
+        handle, "parts", F.octet_length("__w").cast("long").alias("bytes"), F.when(error.isNull(), lines.cast("long")).alias("lines"),
+        F.when(error.isNotNull(), "fallback").when(F.octet_length("__w") > PAGE, "stored").otherwise("passed").alias("outcome"),
+        error.alias("capture_error"), F.when(error.isNull(), F.sha2("__w", 256)).alias("digest"),
+    )
+    none = F.lit(None)
+    return kept.unionByName(large.select(handle, "parts", "bytes", none.cast("long").alias("lines"), F.lit("fallback").alias("outcome"), F.lit("too_large").alias("capture_error"), none.cast("string").alias("digest")))
+
+
 def page(content: bytes, offset: int) -> bytes:
     """One exact page: up to 4096 bytes, whole characters, cut after its last line end if it has one."""
     if offset < 0 or offset >= len(content):

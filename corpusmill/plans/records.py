@@ -50,6 +50,11 @@ def stream_pages(spark, sf_dir):
     return streams.pages(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def captured_outputs(spark, sf_dir):
+    """What capture makes of every conversation, its turns put together as the parts of one output."""
+    return streams.capture_outcomes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
 def head_tail_preview(spark, sf_dir):
     head, tail = streams.head_tail(F.col("raw"))
     return table(spark, sf_dir, "documents").withColumn("raw", F.col("text").cast("binary")).filter("raw IS NOT NULL").select("doc_id", F.sha2(head, 256).alias("head_sha256"), F.sha2(tail, 256).alias("tail_sha256"))
@@ -235,7 +240,7 @@ QUERIES = {
     for f in (
         lru_evict, slot_evict, reserved_budget, ttl_expire, stream_digest, stream_pages, head_tail_preview, page_cursors, output_regions, output_rank,
         idle_sessions, interval_merge, overlap_metrics, region_recall, file_metrics, correctness_3vl, pair_deltas, delta_extremes, summary_grouping_sets,
-        null_poison_sum, seq_contiguity, fallback_after_failure, dedup_conflict, correlate_calls, ledger_replay, byte_budget, timings, hash_coin, hash_order,
+        null_poison_sum, seq_contiguity, fallback_after_failure, dedup_conflict, captured_outputs, correlate_calls, ledger_replay, byte_budget, timings, hash_coin, hash_order,
         plan_cross, trial_rules, unknown_references, repeated_contents, quota_changes, tree_digest, skip_counts,
     )
 }
@@ -287,6 +292,10 @@ SELECT user_id, count(*) FILTER (event_type = 'error') AS failures, count(*) FIL
     "dedup_conflict": "SELECT user_id, event_type, count(*) AS copies, count(DISTINCT props) AS variants, count(DISTINCT props) > 1 AS conflict, arg_min(props, event_id) AS payload FROM events GROUP BY ALL",
     "correlate_calls": """SELECT conv_id, count(*) FILTER (role = 'system') AS system, count(*) FILTER (role = 'user') AS user, count(*) FILTER (role = 'assistant') AS assistant,
  count(*) FILTER (role = 'system') = 1 AND count(*) FILTER (role = 'user') = 1 AND count(*) FILTER (role = 'assistant') = 1 AS complete FROM conversations GROUP BY conv_id""".replace(" AS user,", ' AS "user",'),
+    "captured_outputs": """WITH w AS (SELECT conv_id, count(*) AS parts, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, coalesce(string_agg(text, '' ORDER BY turn, text), '') AS w FROM conversations GROUP BY conv_id),
+o AS (SELECT *, CASE WHEN bytes > 8388608 THEN 'too_large' WHEN contains(w, chr(0)) THEN 'nul' END AS capture_error FROM w)
+SELECT conv_id, parts, bytes, CASE WHEN capture_error IS NULL THEN length(w) - length(replace(w, chr(10), '')) + CASE WHEN w = '' OR ends_with(w, chr(10)) THEN 0 ELSE 1 END END AS lines,
+ CASE WHEN capture_error IS NOT NULL THEN 'fallback' WHEN bytes > 4096 THEN 'stored' ELSE 'passed' END AS outcome, capture_error, CASE WHEN capture_error IS NULL THEN sha256(w) END AS digest FROM o""",
     "ledger_replay": """SELECT conv_id, CASE WHEN count(*) <> max(turn) + 1 OR min(turn) <> 0 OR count(DISTINCT turn) <> count(*) THEN 'invalid' WHEN max(turn) >= 6 THEN 'invalid'
  ELSE ['created', 'planned', 'started', 'reserved', 'started', 'stopped'][max(turn) + 1] END AS state FROM conversations GROUP BY conv_id""",
     "byte_budget": "SELECT conv_id, turn, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 1500, false) AS admitted FROM conversations",

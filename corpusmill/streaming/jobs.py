@@ -26,7 +26,8 @@ def first_events(events: DataFrame, keys: list[str], at: str, late: str = "1 hou
 def captured(parts: DataFrame, handle: str, ordinal: str, content: str, cap: int) -> DataFrame:
     """(handle, parts, bytes, lines, complete): running counts of captured streams; a stream over the cap stays incomplete.
 
-    State is four numbers a stream, whatever its length; parts of a stream come in order.
+    State is four numbers a stream, whatever its length, and stays; parts of a stream come in order.
+    ``capture.captured`` keeps the bytes as well and ends streams by their last part or by a deadline.
     """
     kind = dict(parts.dtypes)[handle]
 
@@ -73,3 +74,14 @@ def refresh_index(root: str):
         held.merge()
 
     return apply
+
+
+def started_and_completed(started: DataFrame, completed: DataFrame, key: str, at: str, wait: str, late: str = "10 minutes") -> DataFrame:
+    """(key, started, completed, status) of two streams of events: a start with its completion within ``wait``, or without one once none can come.
+
+    Both sides carry a watermark, so state of a start goes when its time is over; a completion without a start gives no row.
+    """
+    one = started.withWatermark(at, late).select(F.col(key), F.col(at).alias("started"))
+    two = completed.withWatermark(at, late).select(F.col(key).alias("__key"), F.col(at).alias("completed"))
+    met = one.join(two, F.expr(f"{key} = __key AND completed >= started AND completed <= started + INTERVAL {wait}"), "left_outer")
+    return met.select(key, "started", "completed", F.when(F.col("completed").isNull(), "missing").otherwise("completed").alias("status"))
