@@ -30,16 +30,20 @@ class Vocabulary(dict):
 
     def __init__(self, underscore: bool = True):
         super().__init__()
-        self.underscore, self.terms, self.numbers = underscore, [], {}
+        self.underscore, self.terms, self.numbers, self.sizes = underscore, [], {}, {}
 
-    def expand(self, word: str) -> list[str]:
-        """The search tokens of a word: of the whole in lower case, then of its distinct components in order."""
+    @staticmethod
+    def tokens(word: str) -> list[str]:
+        """A word in lower case, then its distinct components in order; none for joining signs alone."""
         word = word.strip(_JOINING)
         if not word:
             return []
         whole = word.lower()
-        parts = sorted({p.lower() for p in _COMPONENTS.split(word)} - {"", whole})
-        return [t for x in (whole, *parts) for t in _SEARCH[self.underscore].split(x.lower().translate(_FOLD)) if t]
+        return [whole, *sorted({p.lower() for p in _COMPONENTS.split(word)} - {"", whole})]
+
+    def expand(self, word: str) -> list[str]:
+        """The search tokens of a word's tokens."""
+        return [t for x in self.tokens(word) for t in _SEARCH[self.underscore].split(x.lower().translate(_FOLD)) if t]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.MOST:
@@ -60,8 +64,19 @@ class Vocabulary(dict):
             return np.zeros(0, np.int32)
         return np.fromiter(chain.from_iterable(map(self.__getitem__, _WORD.findall(text))), np.int32)
 
+    def measured(self, text: str) -> tuple[np.ndarray, int]:
+        """The sequence of a text, and the bytes its tokens take joined by spaces."""
+        found = _WORD.findall(text)
+        sizes = self.sizes
+        for word in set(found) - sizes.keys():
+            sizes[word] = sum(len(t.encode()) + 1 for t in self.tokens(word))
+        size = sum(map(sizes.__getitem__, found))
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, found)), np.int32), max(size - 1, 0)
+
     def trim(self, most: int = 1 << 20) -> None:
         """Start afresh between batches once there are ``most`` terms, so that a worker's memory has a bound."""
+        if len(self.sizes) > self.MOST:
+            self.sizes.clear()
         if len(self.terms) > most:
             self.clear()
             self.terms, self.numbers = [], {}

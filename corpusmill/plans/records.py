@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import audit, evaluate, rank, streams, validate, versions
+from corpusmill.operators import output_search as searching
 from corpusmill.plans.search import table
 
 NOW = 1704200000  # a fixed clock for retention rules
@@ -70,23 +71,21 @@ def output_regions(spark, sf_dir):
     return streams.stream_regions(table(spark, sf_dir, "documents"), "doc_id", "text").drop("body")
 
 
+def _outputs(spark, sf_dir):
+    return rank.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def output_rank(spark, sf_dir):
-    """Ranked regions inside each stream: statistics are those of the stream alone.
-
-    Postings are made once and leave their task only as one row a region.
-    """
-    regions = streams.stream_regions(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("region", F.concat_ws(":", "doc_id", "position"))
-    posted = rank.postings(regions, "region", {"body": "body"}, underscore=False)
-    terms = ("the", "license")
-    found = [F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"f{i}") for i, t in enumerate(terms)]
-    counted = posted.groupBy("region").agg(F.sum("tf").alias("len"), *found)
-    rows = regions.select("region", "doc_id", "position").join(counted, "region", "left").withColumn("len", F.coalesce("len", F.lit(0)))
-    stream = Window.partitionBy("doc_id")
-    stats = {f"df{i}": F.count(f"f{i}").over(stream) for i in range(len(terms))}
-    rows = rows.withColumns({"n_rows": F.count("*").over(stream), "total": F.sum("len").over(stream), **stats})
-    scored = rows.filter(F.coalesce("f0", "f1").isNotNull()).withColumn("score", F.round(rank.score_of(len(terms)), 9))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "position")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 5").select("doc_id", "position", "rank", "score")
+    """Ranked regions inside each stream: statistics are those of the stream alone."""
+    found = searching.searched(_outputs(spark, sf_dir), "doc_id", "text", [["the"], ["license"]], ["license", "the"])
+    return found.select("doc_id", "position", F.col("place").alias("rank"), "score")
+
+
+def output_search(spark, sf_dir):
+    """The best regions of each stream for a query with a phrase in it, quoted with exact ranges."""
+    query = "cc-by license"
+    found = searching.searched(_outputs(spark, sf_dir), "doc_id", "text", rank.query_phrases(spark, query, underscore=False), rank.query_terms(spark, query))
+    return found.withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
 
 
 def idle_sessions(spark, sf_dir):
@@ -238,7 +237,7 @@ def skip_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        lru_evict, slot_evict, reserved_budget, ttl_expire, stream_digest, stream_pages, head_tail_preview, page_cursors, output_regions, output_rank,
+        lru_evict, slot_evict, reserved_budget, ttl_expire, stream_digest, stream_pages, head_tail_preview, page_cursors, output_regions, output_rank, output_search,
         idle_sessions, interval_merge, overlap_metrics, region_recall, file_metrics, correctness_3vl, pair_deltas, delta_extremes, summary_grouping_sets,
         null_poison_sum, seq_contiguity, fallback_after_failure, dedup_conflict, captured_outputs, correlate_calls, ledger_replay, byte_budget, timings, hash_coin, hash_order,
         plan_cross, trial_rules, unknown_references, repeated_contents, quota_changes, tree_digest, skip_counts,
