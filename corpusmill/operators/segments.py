@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import words
-from corpusmill.operators import chunking, index, publish, rank
+from corpusmill.operators import chunking, index, publish, rank, syntax
 
 BLOCK = 4 << 20  # characters tokenized before a block is written
 RATIO = 4  # an older segment this many times the newer ones together stays out of a merge
@@ -238,16 +238,21 @@ class Segments:
         if batch is not None and batch <= self.batch:
             return self
         folder = f"segment-{uuid.uuid4().hex}"
-        rows = changes.filter("path_id IS NOT NULL").select(F.col("path_id").cast("long").alias("path_id"), "path", index.identity(F.col("text")).alias("identity"))
+        rows = changes.filter("path_id IS NOT NULL").select(F.col("path_id").cast("long").alias("path_id"), "path", syntax.parsed_identity(index.identity(F.col("text")), F.col("path")).alias("identity"))
         rows = rows.groupBy("path_id").agg(F.max_by(F.struct("path", "identity"), F.coalesce("identity", F.lit(""))).alias("x")).select("path_id", "x.path", "x.identity")
         rows = self._write("view", rows, folder)
         named = rows.select("identity").filter("identity IS NOT NULL").distinct()
         known = self.table("contents").select("identity").join(named, "identity", "left_semi")
         missing = named.join(known, "identity", "left_anti")
-        texts = changes.filter("text IS NOT NULL").select(index.identity(F.col("text")).alias("identity"), "text").join(missing, "identity", "left_semi")
-        texts = texts.groupBy("identity").agg(F.any_value("text").alias("text"))
-        cut = chunking.line_windows(texts, "identity", "text").withColumnRenamed("content", "body")
-        cut = cut.withColumn("chunk_id", F.concat_ws(":", F.left("identity", F.lit(32)), "start_line")).withColumn("symbol", F.lit(None).cast("string"))
+        texts = changes.filter("text IS NOT NULL").select(syntax.parsed_identity(index.identity(F.col("text")), F.col("path")).alias("identity"), "text")
+        texts = texts.join(missing, "identity", "left_semi").groupBy("identity").agg(F.any_value("text").alias("text")).withColumn("parser", F.get(F.split("identity", ":"), F.lit(1)))
+        plain = chunking.line_windows(texts.filter("parser IS NULL"), "identity", "text").withColumn("symbol", F.lit(None).cast("string"))
+        scripts = syntax.syntax_chunks(texts.filter("parser IS NOT NULL"), "identity", "text", "parser", limited=False).drop("skipped")
+        cut = plain.unionByName(scripts).withColumnRenamed("content", "body")
+        parser = F.get(F.split("identity", ":"), F.lit(1))
+        # regions may begin in one line, so a script's chunks are told apart by symbol and end as well
+        place = F.when(parser.isNull(), F.col("start_line").cast("string")).otherwise(F.concat_ws(":", parser, "start_line", "end_line", "symbol"))
+        cut = cut.withColumn("chunk_id", F.concat_ws(":", F.left("identity", F.lit(32)), place))
         chunks = self._write("chunks", self._numbered(cut), folder)
         blocks = self._write("chunk_blocks", block_postings(chunks, {"symbol": "symbol", "body": "body"}).repartitionByRange("term", "field").sortWithinPartitions("term"), folder)
         lens = blocks.select(F.explode(F.arrays_zip("docs", "places")).alias("p")).groupBy(F.col("p.docs").alias("doc")).agg(F.sum(F.size("p.places")).alias("n"))

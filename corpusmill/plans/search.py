@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunking, policy, rank, versions
+from corpusmill.operators import chunking, policy, rank, syntax, versions
 
 QUERY = "licensed under the public license"
 PHRASE = "cc-by example.com 4.0"
@@ -33,6 +33,15 @@ def line_windows(spark, sf_dir):
     return _windows(spark, sf_dir).select("doc_id", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.sha2("content", 256).alias("content_sha256"))
 
 
+def syntax_chunks(spark, sf_dir):
+    """Chunks of all documents and pages as files of the parsers that their paths ask for: pages as scripts with markup, documents as plain lines."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("path"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".tsx")).alias("path"), F.col("html").alias("text"))
+    files = rank.spread(docs).unionByName(rank.spread(pages)).withColumn("parser", T.parser_for(F.col("path")))
+    out = syntax.syntax_chunks(files, "path", "text", "parser")
+    return out.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "symbol", F.sha2("content", 256).alias("content_sha256"), "skipped")
+
+
 def _lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     return docs.withColumn("line_no", (F.col("line_no") + 1).cast("long"))
@@ -161,7 +170,7 @@ def parsers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_documents, line_windows, gap_fill_regions, content_skip_reasons, path_policy, bm25_topk, bm25_two_field, bm25_path_fusion,
+        tokenize_documents, line_windows, syntax_chunks, gap_fill_regions, content_skip_reasons, path_policy, bm25_topk, bm25_two_field, bm25_path_fusion,
         phrase_match, excerpts, active_view, snapshot_diff, content_dedup, gc_unreferenced, cache_probe, literal_search, regex_search,
         read_range, file_list, blob_ids, parsers,
     )
