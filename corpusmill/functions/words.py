@@ -39,11 +39,15 @@ class Vocabulary(dict):
         if not word:
             return []
         whole = word.lower()
+        if word.isascii() and word.isalpha() and (word == whole or word[1:].islower()):
+            return [whole]  # one component, which is the word
         return [whole, *sorted({p.lower() for p in _COMPONENTS.split(word)} - {"", whole})]
 
     def expand(self, word: str) -> list[str]:
         """The search tokens of a word's tokens."""
-        return [t for x in self.tokens(word) for t in _SEARCH[self.underscore].split(x.lower().translate(_FOLD)) if t]
+        tokens = self.tokens(word)
+        self.sizes[word] = sum(len(t.encode()) + 1 for t in tokens)
+        return [t for x in tokens for t in ([x] if x.isascii() and x.isalnum() else _SEARCH[self.underscore].split(x.lower().translate(_FOLD))) if t]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.MOST:
@@ -67,11 +71,8 @@ class Vocabulary(dict):
     def measured(self, text: str) -> tuple[np.ndarray, int]:
         """The sequence of a text, and the bytes its tokens take joined by spaces."""
         found = _WORD.findall(text)
-        sizes = self.sizes
-        for word in set(found) - sizes.keys():
-            sizes[word] = sum(len(t.encode()) + 1 for t in self.tokens(word))
-        size = sum(map(sizes.__getitem__, found))
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, found)), np.int32), max(size - 1, 0)
+        sequence = np.fromiter(chain.from_iterable(map(self.__getitem__, found)), np.int32)
+        return sequence, max(sum(map(self.sizes.__getitem__, found)) - 1, 0)
 
     def trim(self, most: int = 1 << 20) -> None:
         """Start afresh between batches once there are ``most`` terms, so that a worker's memory has a bound."""
