@@ -9,7 +9,7 @@ sum, less what is dead, so no refresh reads a stored text.
 
 Postings are blocks: a task that tokenizes a stretch of chunks writes one row a term
 (field, term, docs, lens, places), so an index has a row for each term and stretch, not for each term and chunk; they lie
-sorted by term, and a search reads the row groups of its terms.
+sorted by term with a Bloom filter for each row group, and a search reads the row groups of its terms.
 
 Versions are pointers (``publish.VersionedTable``): a refresh that finds another version than it started from
 publishes nothing, and readers keep the version they opened.  Neighbouring segments are merged when
@@ -35,6 +35,7 @@ from corpusmill.functions import words
 from corpusmill.operators import chunking, index, publish, rank, syntax
 
 BLOCK = 4 << 20  # characters tokenized before a block is written
+PIECES = 16  # tasks that the blocks of one term are dealt over, whatever their number
 RATIO = 4  # an older segment this many times the newer ones together stays out of a merge
 
 _POSTINGS = pa.schema(
@@ -93,6 +94,11 @@ def block_postings(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     return rows.select("doc", *fields.values()).mapInArrow(run, _POSTINGS_DDL)
 
 
+def _by_term(blocks: DataFrame) -> DataFrame:
+    """Blocks in the order they are stored in: by hash, as ranges would tokenize everything once more to find their bounds."""
+    return blocks.repartition(F.col("term"), F.pmod(F.xxhash64("docs"), F.lit(PIECES))).sortWithinPartitions("term")
+
+
 def opened(blocks: DataFrame, terms: list[str]) -> DataFrame:
     """(doc, field, term, places, len) of the stored blocks of ``terms``."""
     hit = blocks.filter(F.col("term").isin(terms)).select("field", "term", F.explode(F.arrays_zip("docs", "lens", "places")).alias("p"))
@@ -208,7 +214,10 @@ class Segments:
 
     def _write(self, name: str, df: DataFrame, folder: str) -> DataFrame:
         columns = [c.split()[0] for c in self.TABLES[name].split(", ")]
-        df.select(*columns).write.parquet(f"{self.root}/{folder}/{name}")
+        writer = df.select(*columns).write
+        if name.endswith("_blocks"):
+            writer = writer.option("parquet.bloom.filter.enabled#term", "true")  # row groups without a term are skipped
+        writer.parquet(f"{self.root}/{folder}/{name}")
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{folder}/{name}")
 
     def _finish(self, folder: str, contents: DataFrame, paths_tokens: DataFrame, entries: int) -> dict:
@@ -254,14 +263,14 @@ class Segments:
         place = F.when(parser.isNull(), F.col("start_line").cast("string")).otherwise(F.concat_ws(":", parser, "start_line", "end_line", "symbol"))
         cut = cut.withColumn("chunk_id", F.concat_ws(":", F.left("identity", F.lit(32)), place))
         chunks = self._write("chunks", self._numbered(cut), folder)
-        blocks = self._write("chunk_blocks", block_postings(chunks, {"symbol": "symbol", "body": "body"}).repartitionByRange("term", "field").sortWithinPartitions("term"), folder)
+        blocks = self._write("chunk_blocks", _by_term(block_postings(chunks, {"symbol": "symbol", "body": "body"})), folder)
         lens = blocks.select(F.explode(F.arrays_zip("docs", "places")).alias("p")).groupBy(F.col("p.docs").alias("doc")).agg(F.sum(F.size("p.places")).alias("n"))
         sizes = chunks.select("doc", "identity").join(lens, "doc", "left").groupBy("identity").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
         none = F.lit(0).cast("long")
         contents = self._write("contents", missing.join(sizes, "identity", "left").select("identity", F.coalesce("chunks", none).alias("chunks"), F.coalesce("tokens", none).alias("tokens")), folder)
         old_paths = self.table("paths").select("path_id").join(rows.select("path_id"), "path_id", "left_semi")
         paths = self._write("paths", self._numbered(rows.filter("identity IS NOT NULL").select("path_id", "path").join(old_paths, "path_id", "left_anti")), folder)
-        path_blocks = self._write("path_blocks", block_postings(paths, {"path": "path"}).sortWithinPartitions("term"), folder)
+        path_blocks = self._write("path_blocks", _by_term(block_postings(paths, {"path": "path"})), folder)
         path_tokens = path_blocks.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(0), lambda n, p: n + F.size(p))), none).alias("path_tokens"))
         self._write("dead", self._left(rows), folder)
         entries = rows.count()
@@ -305,9 +314,9 @@ class Segments:
         kept_rows = flat.withColumnRenamed("docs", "doc").join(gone, "doc", "left_anti")
         again = kept_rows.groupBy("field", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "lens", "places"))).alias("x"))
         again = again.select("field", "term", F.col("x.doc").alias("docs"), F.col("x.lens").alias("lens"), F.col("x.places").alias("places"))
-        self._write("chunk_blocks", again.repartitionByRange("term", "field").sortWithinPartitions("term"), folder)
+        self._write("chunk_blocks", _by_term(again), folder)
         paths = self._write("paths", self._of("paths", run), folder)
-        path_blocks = self._write("path_blocks", self._of("path_blocks", run).repartitionByRange("term", "field").sortWithinPartitions("term"), folder)
+        path_blocks = self._write("path_blocks", _by_term(self._of("path_blocks", run)), folder)
         view = _latest(self._of("view", run), "path_id", "path", "identity")
         view = self._write("view", view if kept else view.filter("identity IS NOT NULL"), folder)
         told = _latest(self._of("dead", run), "identity", "dead")  # of older segments' contents it has to stay
