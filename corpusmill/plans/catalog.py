@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import records, refresh, reports, retrieval, search, trials, upkeep
+from corpusmill.plans import ledgers, records, refresh, reports, retrieval, search, trials, upkeep
 
-QUERIES: dict = {**search.QUERIES, **records.QUERIES, **refresh.QUERIES, **reports.QUERIES, **retrieval.QUERIES, **trials.QUERIES, **upkeep.QUERIES}
-ORACLES: dict[str, str] = {**search.ORACLES, **records.ORACLES, **refresh.ORACLES, **reports.ORACLES, **retrieval.ORACLES, **trials.ORACLES, **upkeep.ORACLES}
+QUERIES: dict = {**search.QUERIES, **ledgers.QUERIES, **records.QUERIES, **refresh.QUERIES, **reports.QUERIES, **retrieval.QUERIES, **trials.QUERIES, **upkeep.QUERIES}
+ORACLES: dict[str, str] = {**search.ORACLES, **ledgers.ORACLES, **records.ORACLES, **refresh.ORACLES, **reports.ORACLES, **retrieval.ORACLES, **trials.ORACLES, **upkeep.ORACLES}
 
 
 def listing(spark: SparkSession) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import audit, evaluate, rank, streams, validate, versions
+from corpusmill.operators import audit, evaluate, folds, rank, streams, validate, versions
 from corpusmill.operators import output_search as searching
 from corpusmill.plans.search import table
 
@@ -179,7 +179,8 @@ def byte_budget(spark, sf_dir):
 
 def timings(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("most"), F.count("*").alias("n"))
+    found = folds.order_statistics(events, ["event_type"], "value", {"median": ("cont", 0.5), "p95": ("disc", 0.95), "most": ("disc", 1.0)})
+    return found.select("event_type", F.round("median", 6).alias("median"), "p95", "most", "n")
 
 
 def hash_coin(spark, sf_dir):
