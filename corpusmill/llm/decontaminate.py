@@ -11,7 +11,8 @@ sampled suffix positions locate the occurrences by walking back to a sample.
 The spans of a document's occurrences are merged before removal.
 
 The test windows are a stated query set: they go to the tasks in passes of at
-most ``PASS_BYTES``, so nothing broadcast grows with the benchmark; the result is
+most ``PASS_BYTES``, so nothing broadcast grows with the benchmark; a worker turns a pass
+into arrays once and keeps them for its later tasks; the result is
 written after each pass but the last, and the spans of all passes are merged.
 
 Defined results: null has no words; an item without words has no windows;
@@ -22,8 +23,8 @@ documents clean; other columns are carried or ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -108,13 +109,16 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of the suffixes that start with each pattern; patterns are right-aligned."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.rows, np.int64)
-        width = patterns.shape[1]
-        for k in range(width):
+        return self.narrow(lambda live, k: patterns[live, patterns.shape[1] - 1 - k], lengths)
+
+    def narrow(self, symbol: Callable[[np.ndarray, int], np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for patterns given by a function: the symbols of some of them, counted from the end."""
+        low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.rows, np.int64)
+        for k in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((k < lengths) & (low < high))
             if not len(live):
                 break
-            c = patterns[live, width - 1 - k]
+            c = symbol(live, k)
             low[live] = self.starts[c] + self.tree.rank(c, low[live])
             high[live] = self.starts[c] + self.tree.rank(c, high[live])
         return low, np.maximum(low, high)
@@ -135,22 +139,56 @@ class FMIndex:
 
 
 class TestWindows:
-    """The distinct windows of some benchmark items: symbols of their words and which items have which window."""
+    """The distinct windows of some benchmark items: symbols of their words and which items have which window.
+
+    Items are one array of symbols, each followed by zeros, so that a window is a place in it.  Windows are told
+    apart by ranks of their halves, doubled from single symbols, so nothing is kept for a window but numbers.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        parts, sizes, self.names = [], [], []
         for name, raw in items:
-            words = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in alnum_words(raw)]
+            words = alnum_words(raw)
             if words:
-                for k in range(max(1, len(words) - window + 1)):
-                    found.setdefault(tuple(words[k : k + window]), set()).add(name)
-        self.items = [sorted(x for x in names if x is not None) for names in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for k, w in enumerate(found):
-            self.patterns[k, window - len(w) :] = w
+                numbers = (self.symbol.setdefault(w, len(self.symbol) + 1) for w in words)
+                parts += [np.fromiter(numbers, np.int32, len(words)), np.zeros(window, np.int32)]
+                sizes.append(len(words))
+                self.names.append(name)
+        self.codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        n = np.array(sizes, np.int64)
+        count = np.maximum(n - window + 1, 1)
+        owner = np.repeat(np.arange(len(n)), count)
+        begin_of = np.cumsum(n + window) - (n + window)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin_of[owner]
+        rank, width = self.codes.astype(np.int64), 1
+        while 2 * width <= window:
+            rank = np.unique(rank << 32 | np.append(rank[width:], np.zeros(min(width, len(rank)), np.int64)), return_inverse=True)[1].astype(np.int64)
+            width *= 2
+        _, first, which = np.unique(rank[starts] << 32 | rank[starts + window - width], return_index=True, return_inverse=True)
+        self.lengths = np.minimum(n, window)[owner[first]]
+        self.ends = starts[first] + self.lengths
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+        listed = np.unique(which * max(len(n), 1) + owner)
+        self.item = listed % max(len(n), 1)
+        self.bounds = np.searchsorted(listed // max(len(n), 1), np.arange(len(first) + 1))
+
+    def items_of(self, which: int) -> list[str]:
+        """The named items that have a window."""
+        found = (self.names[i] for i in self.item[self.bounds[which] : self.bounds[which + 1]])
+        return [x for x in found if x is not None]
+
+
+#: The windows of the pass that this worker is at, by the name of the pass.
+_known: dict[str, TestWindows] = {}
+
+
+def _windows(name: str, block: list, window: int) -> TestWindows:
+    """The windows of a pass, made once in a worker."""
+    if name not in _known:
+        _known.clear()
+        _known[name] = TestWindows(block, window)
+    return _known[name]
 
 
 def _runs(symbols: np.ndarray, shortest: int) -> list[tuple[int, int]]:
@@ -167,7 +205,7 @@ def _shard_hits(runs: list[tuple[int, int, np.ndarray]], tests: TestWindows) ->
     text = np.concatenate([x for _, _, s in runs for x in (s, [stop])]).astype(np.int64)
     begins = np.concatenate([[0], np.cumsum([len(s) + 1 for _, _, s in runs])[:-1]])
     index = FMIndex(text, stop)
-    low, high = index.search(tests.patterns, tests.lengths)
+    low, high = index.narrow(lambda live, k: tests.codes[tests.ends[live] - 1 - k], tests.lengths)
     hit = np.flatnonzero(high > low)
     n = (high - low)[hit]
     window = np.repeat(hit, n)
@@ -202,8 +240,8 @@ def find_spans(texts: Iterable[bytes | None], tests: TestWindows) -> list[tuple[
         at = np.flatnonzero(new)
         for d, s, e in zip(doc[at].tolist(), first[at].tolist(), (reach[np.append(at[1:], len(doc))[: len(at)] - 1] - doc[at] * _FAR).tolist()):
             spans[d].append([s, e])
-        for key in np.unique(doc * len(tests.items) + window[order]).tolist() if len(doc) else ():
-            items[key // len(tests.items)].update(tests.items[key % len(tests.items)])
+        for key in np.unique(doc * len(tests.lengths) + window[order]).tolist() if len(doc) else ():
+            items[key // len(tests.lengths)].update(tests.items_of(key % len(tests.lengths)))
     return list(zip(counts, spans, items))
 
 
@@ -234,11 +272,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for k, block in enumerate(benchmark_blocks(benchmark, block_bytes)):
         if k:
             out = stage(out, "decontaminate")
-        tests = docs.sparkSession.sparkContext.broadcast((block, window))
+        tests = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, window))
 
         def run(parts, tests=tests):
-            begin()
-            known = TestWindows(*tests.value)
+            begin("decontaminate", _known.clear)
+            known = _windows(*tests.value)
             for shard in _shards(parts):
                 texts = [b.column(b.schema.get_field_index("text")).cast(pa.binary()) for b in shard]  # views of the same bytes
                 found = iter(find_spans(chain.from_iterable(map(raw_values, texts)), known))
