@@ -168,6 +168,16 @@ def lines_with_ends(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WITH_END), F.lit(0))
 
 
+#: The line ends of a string: those of bytes, the separators of pages, files, groups and records, and those of Unicode.
+_STRING_ENDS = r"\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}"
+STRING_LINE = rf"[^{_STRING_ENDS}]*(?:\r\n|[{_STRING_ENDS}])|[^{_STRING_ENDS}]+"
+
+
+def string_lines(text: Column) -> Column:
+    """How many lines a string has; a last line needs no end, an empty string has none."""
+    return F.regexp_count(text, F.lit(STRING_LINE))
+
+
 def excerpt_digest(text: Column, start: Column, end: Column) -> Column:
     """SHA-256 of the lines from ``start`` to ``end``, both counted from 1 and both inside, with their ends."""
     length = F.greatest(end - start + 1, F.lit(0))
@@ -197,7 +207,7 @@ def returned_ranges(tool: Column, result: Column, read: str, text: str, ranked:
 
     def matched(e):
         data, body = e["data"], e["data"]["lines"]["text"]
-        last = data["line_number"] + F.greatest(F.size(lines_with_ends(body)), F.lit(1)) - 1
+        last = data["line_number"] + F.greatest(string_lines(body), F.lit(1)) - 1
         place = data["absolute_offset"]
         return F.struct(F.regexp_replace(data["path"]["text"], r"^\./", ""), data["line_number"], last, place, place + F.octet_length(body), F.lit(False))
 

@@ -71,7 +71,18 @@ def tool_ranges(spark, sf_dir):
     return calls.select("event_id", F.inline(shown))
 
 
-QUERIES = {f.__name__: f for f in (refresh_actions, gc_collectable, unblinded_reviews, stream_chunks, excerpt_digests, run_retention, covered_claims, tool_ranges)}
+def match_ranges(spark, sf_dir):
+    """Line ranges of matches whose texts are the turns of conversations, with full stops and commas for line ends of strings."""
+    turns = table(spark, sf_dir, "conversations")
+    text = F.translate("text", ".,", "\u2028\f")
+    data = F.struct(F.struct(F.concat(F.lit("./c/"), "conv_id").alias("text")).alias("path"), F.struct(text.alias("text")).alias("lines"), (F.col("turn") + 1).alias("line_number"), F.length("text").alias("absolute_offset"))
+    event = F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data")))
+    result = F.to_json(F.struct(F.lit(True).alias("ok"), F.struct(event.alias("content")).alias("result")))
+    shown = evaluate.returned_ranges(F.lit("find"), result, "read", "find", "ranked")
+    return turns.select("conv_id", "turn", F.inline(shown)).select("conv_id", "turn", "path", "start", "end", "byte_start", "byte_end")
+
+
+QUERIES = {f.__name__: f for f in (refresh_actions, gc_collectable, unblinded_reviews, stream_chunks, excerpt_digests, run_retention, covered_claims, tool_ranges, match_ranges)}
 
 ORACLES = {
     "refresh_actions": """WITH s AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_id % 3 END AS h0, event_id % 4 AS h1,
@@ -87,6 +98,9 @@ SELECT doc_id, ordinal, octet_length(array_slice(raw, ordinal * 3584 + 1, ordina
 SELECT event_id, 4100 - created >= 3000 OR remaining >= 500 AS expired FROM r""",
     "covered_claims": """WITH t AS (SELECT user_id, event_type, max(value > 20) AS needed, max(event_id % 3 = 0) AS used FROM events GROUP BY ALL)
 SELECT user_id, bool_and(needed = used) AS covered FROM t GROUP BY user_id""",
+    "match_ranges": rf"""WITH t AS (SELECT *, translate(text, '.,', chr(8232) || chr(12)) AS shown FROM conversations)
+SELECT conv_id, turn, 'c/' || conv_id AS path, turn + 1 AS start, turn + greatest(len(regexp_extract_all(shown, '{evaluate.STRING_LINE}')), 1)::BIGINT AS "end", length(text) AS byte_start, length(text) + strlen(shown) AS byte_end
+FROM t WHERE text IS NOT NULL""",
     "tool_ranges": """WITH e AS (SELECT event_id AS n, 'd/' || user_id AS p FROM events WHERE event_id % 5 <> 0)
 SELECT n AS event_id, './' || p AS path, n AS start, n + 3 AS "end", n * 2 AS byte_start, n * 2 + 9 AS byte_end, false AS partial FROM e WHERE n % 4 = 0
 UNION ALL SELECT n, p, n, n + 1, n * 10, n * 10 + 6, false FROM e WHERE n % 4 = 1

@@ -109,3 +109,11 @@ def test_instruction_blocks(spark):
     }
     own = got["$.instructions"]
     assert own.bytes == 14 and own.sha256 == hashlib.sha256(b"base at /tmp/x").hexdigest() and own.normalized_sha256 == hashlib.sha256(b"base at <fixture>").hexdigest()
+
+
+def test_lines_of_strings(spark):
+    from corpusmill.operators import evaluate
+
+    texts = ["", "a", "a\n", "a\r\nb", "a\rb\r", "\n\n", "a\x0bb\x0cc", "a\x1cb\x1dc\x1ed", "a\x85b", "a b ", "a\x1fb\tc", "é\r\n\r"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", evaluate.string_lines("t").alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(t.splitlines()) for i, t in enumerate(texts)}
