@@ -138,17 +138,20 @@ def merkle_digest(df: DataFrame, group: list[str], item: Column, width: int = 10
     leaves = df.select(*group, leaf.alias("__leaf")).groupBy(*group, "__leaf").agg(F.count("*").alias("__n"))
     placed = running.ahead(leaves, group, ["__leaf"], {"items": F.lit(1)})
     line = F.concat("__leaf", F.lit(" "), F.col("__n").cast("string"))
-    level = placed.select(*group, F.col("items_all").cast("long").alias("items"), F.col("items_ahead").cast("long").alias("__at"), line.alias("__d"))
+    level = placed.select(*group, F.col("items_all").cast("long").alias("items"), F.col("items_ahead").cast("long").alias("__at"), line.alias("__d"), F.col("items_all").cast("long").alias("__left"))
     path = shared_folder(df.sparkSession)
     level.write.parquet(path)
     level = df.sparkSession.read.schema(level.schema).parquet(path)
     most = level.agg(F.max("items")).first()[0] or 0
-    while True:
-        blocks = level.groupBy(*group, "items", F.floor(F.col("__at") / width).alias("__at")).agg(F.array_sort(F.collect_list(F.struct("__at", "__d"))).alias("__rows"))
-        level = blocks.withColumn("__d", F.sha2(F.array_join(F.transform("__rows", lambda r: r["__d"]), "\n"), 256)).drop("__rows")
-        most = -(-most // width)
-        if most <= 1:
-            return level.select(*group, "items", F.col("__d").alias("digest"))
+    deep = 0
+    while deep == 0 or most > 1:
+        blocks = level.groupBy(*group, "items", "__left", F.floor(F.col("__at") / width).alias("__at")).agg(F.array_sort(F.collect_list(F.struct("__at", "__d"))).alias("__rows"))
+        hashed = F.sha2(F.array_join(F.transform("__rows", lambda r: r["__d"]), "\n"), 256)
+        done = F.lit(deep > 0) & (F.col("__left") == 1)  # a group's own digest, which stays while larger ones go on
+        left = F.ceil(F.col("__left") / width).cast("long")
+        level = blocks.select(*group, "items", "__at", F.when(done, F.col("__rows")[0]["__d"]).otherwise(hashed).alias("__d"), left.alias("__left"))
+        most, deep = -(-most // width), deep + 1
+    return level.select(*group, "items", F.col("__d").alias("digest"))
 
 
 def order_statistics(rows: DataFrame, group: list[str], value: str, fractions: dict[str, tuple[str, float]], most: int = 4096) -> DataFrame:
