@@ -76,7 +76,8 @@ class Vocabulary(dict):
 
     def trim(self, most: int = 1 << 20) -> None:
         """Start afresh between batches once there are ``most`` terms, so that a worker's memory has a bound."""
-        if len(self.sizes) > self.MOST:
+        if len(self.sizes) > self.MOST:  # a word remembered without its size would have none
+            self.clear()
             self.sizes.clear()
         if len(self.terms) > most:
             self.clear()

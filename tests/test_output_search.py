@@ -70,3 +70,14 @@ def test_bytes_of_tokens():
     for t in ("fooBar baz_qux é", "", "--", "a a a"):
         joined = " ".join(x for w in t.split() for x in known.tokens(w))
         assert known.measured(t)[1] == len(joined.encode())
+
+
+def test_more_words_than_are_remembered(monkeypatch):
+    from corpusmill.functions import words
+
+    monkeypatch.setattr(words.Vocabulary, "MOST", 3)
+    known, fresh = words.Vocabulary(False), words.Vocabulary(False)
+    for t in ("a b c", "a b c d e", "a b c d e", "f a", "e d f"):
+        known.trim()
+        (mine, size), (want, same) = known.measured(t), fresh.measured(t)
+        assert [known.terms[k] for k in mine] == [fresh.terms[k] for k in want] == t.split() and size == same == len(t)
