@@ -105,6 +105,15 @@ def test_phrases_count_overlaps(spark):
     assert got == {(1, "a a"): 2, (2, "x y"): 3}  # x-y and its components, then the two words
 
 
+def test_upper_case_is_that_of_sql_letter_by_letter(spark):
+    import duckdb
+
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(map(chr, points[k : k + 4096])) for k in range(0, len(points), 4096)] + ["Straße", "ßß", "", "ŉaŉ", "ﬁn", "İi", "ΌΣΟΣ ὀδυσσεύς ᾳ"]
+    got = [r.u for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.upper_by_letter(F.col("t")).alias("u")).collect()]
+    assert got == [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
+
+
 def test_limits(spark):
     with pytest.raises(ValueError):
         rank.top(spark.createDataFrame([(1, 1.0)], "id int, score double"), 21, "id")
