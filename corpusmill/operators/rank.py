@@ -126,19 +126,27 @@ def bm25(posted: DataFrame, rows: DataFrame, key: str, terms: list[str], weights
 def phrase_counts(rows: DataFrame, key: str, text: str, phrases: list[list[str]], underscore: bool = True) -> DataFrame:
     """(key, phrase, n): occurrences of token phrases in expanded texts, adjacent tokens only, overlaps counted.
 
-    Only rows whose joined tokens contain a phrase are compared place by place.
+    One pass for all phrases: a text's tokens are numbers, made once, and a phrase is looked for in a whole batch at a time.
     """
-    sequence = F.flatten(F.transform(T.tokens(F.col(text)), lambda t: T.search_tokens(t, underscore)))
-    base = rows.select(key, sequence.alias("tokens"))
-    out = None
-    for p in phrases:
-        joined = " " + " ".join(p) + " "
-        may = base.filter(F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.lit(joined)))
-        want = F.array(*[F.lit(t) for t in p])
-        n = F.size(F.filter(F.sequence(F.lit(1), F.size("tokens") - len(p) + 1), lambda i: F.slice("tokens", i, len(p)) == want))
-        part = may.select(key, F.lit(" ".join(p)).alias("phrase"), n.cast("long").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind = dict(rows.dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.Vocabulary(underscore)
+        for b in parts:
+            known.trim()
+            sequences = [known.sequence(x.as_py()) for x in b.column(1)]
+            every = np.concatenate(sequences) if sequences else np.zeros(0, np.int32)
+            row = np.repeat(np.arange(len(b)), np.fromiter(map(len, sequences), np.int64, len(b)))
+            for p in phrases:
+                size = max(len(every) - len(p) + 1, 0)
+                hit = row[:size] == row[len(p) - 1 :][:size]
+                for i, t in enumerate(p):
+                    hit &= every[i:][:size] == known.numbers.get(t, -1)
+                n = np.bincount(row[:size][hit], minlength=len(b))
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([" ".join(p)] * len(at), pa.string()), pa.array(n[at].astype(np.int64))], names=["key", "phrase", "n"])
+
+    return rows.select(key, text).mapInArrow(run, f"key {kind}, phrase string, n long").withColumnRenamed("key", key)
 
 
 def fused(*scored: DataFrame, key: str) -> DataFrame:

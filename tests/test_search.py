@@ -105,6 +105,14 @@ def test_phrases_count_overlaps(spark):
     assert got == {(1, "a a"): 2, (2, "x y"): 3}  # x-y and its components, then the two words
 
 
+def test_phrases_of_a_batch_take_one_pass_and_stay_in_their_text(spark):
+    rows = [(1, "cc"), (2, "by cc"), (3, None), (4, ""), (5, "by"), (6, "cc by cc by"), (6, "cc"), (None, "cc by")]
+    found = rank.phrase_counts(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", "text", [["cc"], ["cc", "by"], ["by", "cc", "by"], ["none"]])
+    got = sorted(((r.id or 0, r.phrase, r.n) for r in found.collect()))
+    assert got == [(0, "cc", 1), (0, "cc by", 1), (1, "cc", 1), (2, "cc", 1), (6, "by cc by", 1), (6, "cc", 1), (6, "cc", 2), (6, "cc by", 2)]
+    assert "Union" not in found._jdf.queryExecution().toString()
+
+
 def test_upper_case_is_that_of_sql_letter_by_letter(spark):
     import duckdb
 
