@@ -35,6 +35,7 @@ from corpusmill.llm.tokens import END, encoder
 
 CAPACITY = 1024
 NODES = 10_000  # completions after which the search settles for its incumbent
+STEPS = 100  # of comparing fillings, for each of these
 
 
 def pieces_of(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,10 +48,10 @@ def pieces_of(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray
 
 
 class Nodes:
-    """Completions that a search may still look at; ``None``: any number."""
+    """Completions that a search may still look at, and steps it may compare them in; ``None``: any number."""
 
     def __init__(self, most: int | None):
-        self.left = most
+        self.left, self.steps = most, None if most is None else most * STEPS
 
     def spend(self) -> bool:
         """Whether one more may be looked at."""
@@ -58,6 +59,12 @@ class Nodes:
             self.left -= 1
         return self.left is None or self.left >= 0
 
+    def step(self) -> bool:
+        """Whether comparing may go on."""
+        if self.steps is not None:
+            self.steps -= 1
+        return self.steps is None or self.steps >= 0
+
 
 def fillings(room: int, counts: dict[int, int], waste: int, nodes: Nodes) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of ``room`` from the lengths on hand that leave at most ``waste`` free, fullest first, then by larger items."""
@@ -91,19 +98,25 @@ def fillings(room: int, counts: dict[int, int], waste: int, nodes: Nodes) -> Ite
                     return
                 spent = Counter(items)
                 fits = any(s <= free and n > spent[s] for s, n in counts.items()) if free else False
-                if not fits and not any(_dominated(items, f) for f in found):
+                if not fits and not any(_dominated(items, f, nodes) for f in found):
                     found.append(items)
                     yield items
 
 
-def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the items of ``a`` can be laid into the items of ``b``, several into one where they fit."""
-    if len(a) < len(b) or sum(a) > sum(b):
+def _dominated(a: tuple[int, ...], b: tuple[int, ...], nodes: Nodes | None = None) -> bool:
+    """Whether the items of ``a`` can be laid into the items of ``b``, several into one where they fit.
+
+    To find out may take steps without bound; a filling that none are left for counts as undominated and is tried like any other.
+    """
+    nodes = nodes or Nodes(None)
+    if not nodes.step() or len(a) < len(b) or sum(a) > sum(b):
         return False
 
     def lay(k: int, free: tuple[int, ...]) -> bool:
         if k == len(a):
             return True
+        if not nodes.step():
+            return False
         return any(lay(k + 1, free[:j] + (f - a[k],) + free[j + 1 :]) for f, j in {f: j for j, f in enumerate(free)}.items() if f >= a[k])
 
     return lay(0, b)

@@ -289,6 +289,14 @@ def test_search_ends_within_its_nodes():
     assert sum(t for _, t in packing.pack_plan(counts, nodes=50)) == sum(t for _, t in packing.best_fit(counts))
 
 
+def test_comparing_fillings_ends_within_its_steps():
+    even, odd = tuple(range(80, 20, -2)), (127,) * 10 + (47, 23) * 4  # many ways to try
+    nodes = packing.Nodes(50)
+    assert sum(even) <= sum(odd) and len(even) >= len(odd)
+    assert not packing._dominated(even, odd, nodes) and nodes.steps <= 0 and not packing._dominated((3,), (3,), nodes)
+    assert packing._dominated((3, 2, 1), (4, 2)) and not packing._dominated((3, 3), (4, 2))
+
+
 def test_fillings():
     counts = {5: 2, 4: 1, 3: 3, 2: 1, 1: 1}
     got = list(packing.fillings(8, counts, 8, packing.Nodes(None)))
