@@ -12,12 +12,11 @@ over the window learns what those leave open.  Windows overlap by half: a chunk
 once, by attention batched over all chunks of a block under one mask.
 
 All training documents take part, whole: ids, and pairs of classes, are counted over every
-one of their tokens.  Gradients are taken on one chunk in ``TAUGHT``, drawn by a hash of
-its place from all chunks of all training documents, so a text teaches in
-proportion to its length and the work grows with the corpus; ``taught=1`` takes
-every chunk.  Chunks are dealt to as many shards as their number asks for;
-every shard trains from the same start, the models are averaged, and the next
-round starts from the average.
+one of their tokens, and gradients are taken on every chunk of every training document.  Each
+round takes its share of the chunks, dealt by a hash of their place, so that all rounds
+together take each chunk once.  In a round every task learns from the blocks it reads, a shard
+of ``SHARD_WINDOWS`` chunks at a time; every shard trains from the same start, the models are
+averaged, and the next round starts from the average.
 
 The base score is that of add-one word counts.  Word counts of all training
 documents are summed by the block exchange: a word occurs once a block there.
@@ -46,8 +45,8 @@ END_ID = 50257  # beyond the vocabulary
 GROUPS, PLACES, DIM, HIDDEN, CHUNK = 32, 32, 16, 32, 16
 CLASSES = GROUPS * PLACES
 SHARED = 16  # classes that several ids share
-TAUGHT, PIECE, ROUNDS = 32, 1024, 2
-SHARD_WINDOWS, BATCH, RATE = 20_000, 128, 0.03
+PIECE, ROUNDS = 1024, 2
+SHARD_WINDOWS, BATCH, RATE = 100_000, 128, 0.03
 SCORED = 512  # chunks of one batch of attention
 SMOOTHING = 30.0  # tokens that the shares of all classes weigh in the counts after one class
 BLOCK_BYTES = 1 << 19  # of 16-bit ids
@@ -288,23 +287,23 @@ def _texts_of(row: dict, training: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint16), np.array([len(t) // 2 for t in texts], np.int64)
 
 
-def windows_of(row: dict, taught: int = TAUGHT) -> np.ndarray:
-    """Training rows of the drawn chunks of a block's training documents."""
+def windows_of(row: dict, turns: int = 1, turn: int = 0) -> np.ndarray:
+    """Training rows of the chunks of a block's training documents, each of which has one of ``turns`` turns."""
     ids, lengths = _texts_of(row, True)
     chunks = Chunks(ids, lengths, END_ID, _NONE, np.uint16)
     key = B.mixed((np.uint64(row["block"]) << np.uint64(24)) + np.arange(chunks.total, dtype=np.uint64))
-    at = np.flatnonzero(key % np.uint64(taught) == 0)
+    at = np.flatnonzero(key % np.uint64(turns) == turn)
     return np.concatenate([chunks.seen(at), chunks.targets[at]], 1)
 
 
-def training_windows(blocks: DataFrame, taught: int = TAUGHT) -> DataFrame:
-    """(block, piece, n, windows) of all training documents, at most ``PIECE`` windows a row."""
+def training_windows(blocks: DataFrame, turns: int = 1) -> DataFrame:
+    """(block, piece, n, windows) of all training documents, or of the first of ``turns`` turns; at most ``PIECE`` windows a row."""
     schema = pa.schema([("block", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("windows", pa.binary())])
 
     def run(parts):
         for b in parts:
             for row in B.rows_of(b):
-                found = windows_of(row, taught)
+                found = windows_of(row, turns)
                 for k in range(0, len(found), PIECE):
                     part = found[k : k + PIECE]
                     yield batches({"block": [row["block"]], "piece": [k // PIECE], "n": [len(part)], "windows": [part.tobytes()]}, schema)
@@ -394,11 +393,21 @@ class Scorer:
 
 
 def _trainer(p: dict[str, np.ndarray], prior: Prior, classes: np.ndarray, round_: int):
-    def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("block", "ascending"), ("piece", "ascending")])
-        rows = np.frombuffer(b"".join(group["windows"].to_pylist()), np.uint16).reshape(-1, 3 * CHUNK)
+    def trained(windows: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(windows)
         v = flat(train_shard(p, prior, rows, classes, round_)).astype(float)
-        return pa.table({"k": pa.array(np.arange(len(v)), pa.int64()), "v": pa.array(v), "w": pa.array(np.full(len(v), float(len(rows))))})
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int64()), pa.array(v), pa.array(np.full(len(v), float(len(rows))))], names=["k", "v", "w"])
+
+    def train(parts):
+        held: list[np.ndarray] = []
+        for b in parts:
+            for row in B.rows_of(b):
+                held.append(windows_of(row, ROUNDS, round_))
+                if sum(map(len, held)) >= SHARD_WINDOWS:
+                    yield trained(held)
+                    held = []
+        if sum(map(len, held)):
+            yield trained(held)
 
     return train
 
@@ -457,24 +466,20 @@ def _pairs(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(blocks: DataFrame, counts: np.ndarray, taught: int = TAUGHT) -> tuple[dict[str, np.ndarray], Prior]:
+def learn(blocks: DataFrame, counts: np.ndarray) -> tuple[dict[str, np.ndarray], Prior]:
     """The trained parameters, and the counts that they add to."""
     classes, _ = class_table(counts)
     prior, p = Prior(_pairs(blocks, classes)), start()
-    windows = stage(training_windows(blocks, taught), "lm-windows")
-    n = windows.agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return p, prior
-    dealt = windows.withColumn("shard", F.xxhash64("block", "piece").bitwiseAND(0x7FFFFFFF) % -(-n // SHARD_WINDOWS))
     for round_ in range(ROUNDS):
-        means = dealt.groupBy("shard").applyInArrow(_trainer(p, prior, classes, round_), "k long, v double, w double")
-        means = means.groupBy("k").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+        shards = blocks.mapInArrow(_trainer(p, prior, classes, round_), "k long, v double, w double")
+        means = shards.groupBy("k").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
         found = sorted((r.k, r.v) for r in means.collect())  # one value a parameter
-        p = shaped(np.array([v for _, v in found], np.float32))
+        if found:  # a round may have no chunk
+            p = shaped(np.array([v for _, v in found], np.float32))
     return p, prior
 
 
-def lm_scores(docs: DataFrame, path: str | None = None, taught: int = TAUGHT) -> DataFrame:
+def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
     spark = docs.sparkSession
     blocks = stage(to_id_blocks(docs, path), "lm-blocks")
@@ -482,7 +487,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, taught: int = TAUGHT) ->
     asked = B.ask(blocks, _word_keys(path), B.bucket_count(int(size[0] or 0) // 12), 4)
     answers = stage(B.answer(asked, _sum_counts, 8, _distinct), "lm-counts")
     counts, n_train = _counts(blocks, path)
-    p, prior = learn(blocks, counts, taught)
+    p, prior = learn(blocks, counts)
     classes, share = class_table(counts)
     found = answers.filter("block = -1").select("answers").collect()  # eight bytes a bucket
     ends = int(counts[END_ID])

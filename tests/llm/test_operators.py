@@ -447,6 +447,23 @@ def test_lm_windows_are_drawn_from_all_chunks(spark):
     assert not got[8] - want and abs(sum(got[8].values()) * 8 / sum(want.values()) - 1) < 0.2
 
 
+def test_lm_rounds_take_every_chunk_once(spark, monkeypatch):
+    from corpusmill.llm import blocks as B
+
+    r = np.random.default_rng(6)
+    texts = [(i, " ".join(f"v{x}" for x in r.integers(0, 999, n))) for i, n in enumerate([0, 5, 3000, 40, 9000])]
+    blocks = lm.to_id_blocks(spark.createDataFrame(texts, "doc_id long, text string")).coalesce(1)
+    taught = []
+    monkeypatch.setattr(lm, "train_shard", lambda p, prior, windows, classes, round_: taught.append(windows) or p)
+    p, prior = lm.start(), some_prior(r)
+    for round_ in range(lm.ROUNDS):
+        shards = list(lm._trainer(p, prior, np.zeros(lm.END_ID + 1, np.int64), round_)(iter(blocks.toArrow().to_batches())))
+        assert {s["w"][0].as_py() for s in shards} == {float(len(taught[-1]))}
+    every = [lm.windows_of(row) for b in blocks.toArrow().to_batches() for row in B.rows_of(b)]
+    assert len(taught) == lm.ROUNDS and sorted(map(bytes, np.concatenate(taught))) == sorted(map(bytes, np.concatenate(every)))
+    assert len(np.concatenate(every)) > 500
+
+
 def test_lm_pairs(spark):
     texts = [(0, "ab cd ab"), (1, ""), (3, None), (4, "cd")]
     blocks = lm.to_id_blocks(spark.createDataFrame(texts, "doc_id long, text string"))
