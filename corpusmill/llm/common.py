@@ -121,6 +121,14 @@ def raw_values(column: pa.Array) -> Iterator[bytes | None]:
         yield column[i].as_py()
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _remembered: dict[str, Callable[[], None]] = {}
 
 
@@ -132,10 +140,7 @@ def begin(owner: str = "", forget: Callable[[], None] | None = None) -> None:
     if forget:
         _remembered[owner] = forget
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
 
 def partition_number() -> int:

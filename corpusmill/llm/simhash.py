@@ -203,15 +203,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the least node reachable, for every node with a link.
 
     Alternates large-star and small-star steps until the links stop changing;
-    each round is written to the shared folder.
+    each step is written to the shared folder, as a plan would hold it once for each of its uses.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
     digest, total = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses")).select("a", F.least("a", "m").alias("m"), "uses")
+        least = stage(least, f"{label}-least")
         large = hot_join(both, least, "a", "uses", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses"))
+        large = stage(large, f"{label}-large")
+        down = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses")), f"{label}-down")
         small = hot_join(large, down, "a", "uses", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = stage(small.union(down.select("a", F.col("m").alias("b"))).distinct(), label)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -225,7 +227,9 @@ def groups_of(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses")).withColumn("node", F.col("fp")), "simhash-distinct")
     groups = components(links(distinct.select("fp", "node"), bits, hot))
     placed = distinct.join(groups, "node", "left").select("fp", "least", "uses", F.coalesce("component", "node").alias("component"))
+    placed = stage(placed, "simhash-placed")
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    ids = stage(ids, "simhash-ids")
     placed = hot_join(placed, ids, "component", "members", distinct.count())
     return stage(placed.select("fp", "component", "component_id", "uses"), "simhash-groups")
 

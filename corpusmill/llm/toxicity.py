@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import begin, id_and_bytes, raw_values, table
+from corpusmill.llm.common import begin, give_back, id_and_bytes, raw_values, table
 from corpusmill.llm.tokens import decode_text
 
 #: Bounds of the labelled sample that the classifier is fitted on.
@@ -42,6 +42,7 @@ FOLDS, HELD_OUT = 5, 0
 LETTERS, SPAN, DECAY = 32, 7, 0.6
 LANDMARKS = 256
 REMEMBERED = 150_000
+PART = 20_000  # words whose values are computed at once
 
 #: Letters a-z keep their place; other letters fold into the last codes.
 _SPLIT = re.compile(r"[\s.!?,;:\"()\[\]{}<>/\\|]+")
@@ -162,10 +163,12 @@ class Model:
         self.known: dict[str, float] = {}
 
     def values(self, words: list[str]) -> np.ndarray:
-        """The machine's value of each word."""
+        """The machine's value of each word; the tables of a part of the words are held at a time."""
+        parts = [self._values(words[at : at + PART]) for at in range(0, len(words), PART)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _values(self, words: list[str]) -> np.ndarray:
         flat, starts, lengths = _laid_out(words)
-        if not len(starts):
-            return np.zeros(0)
         total = np.zeros(len(flat) - SPAN, np.float64)
         for size, weights in ((3, self.three), (4, self.four)):
             for o in _OFFSETS[size]:
@@ -181,8 +184,8 @@ class Model:
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
             fresh = list(set().union(*split))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), PART):
+            part = fresh[at : at + PART]
             self.known.update(zip(part, self.values(part).tolist()))
         get = self.known.__getitem__
         return np.array([max(map(get, w)) if w else self.bias for w in split])
@@ -197,7 +200,9 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    bags = [sorted({w for w in candidates(t.lower()) if len(code(w)) >= 3}) for t in texts]
+    one: dict[str, str] = {}  # a word of many texts is held once
+    bags = [sorted({one.setdefault(w, w) for w in candidates(t.lower()) if len(code(w)) >= 3}) for t in texts]
+    del one
     seen = [Counter(w for b, t in zip(bags, toxic) if t == kind for w in b) for kind in (False, True)]
     n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
     odds = {w: np.log(((c + 0.2) / n[1]) / ((seen[0][w] + 0.2) / n[0])) for w, c in seen[1].items()}
@@ -289,7 +294,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(sorted(chosen), pa.int64())}))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     rows = sorted((r.doc_id, r.text or "") for r in found.groupBy("doc_id").agg(F.min("text").alias("text")).toLocalIterator())
-    return fit([t for _, t in rows], np.array([chosen[i] == 1 for i, _ in rows])) if rows else None
+    texts, marks = [t for _, t in rows], np.array([chosen[i] == 1 for i, _ in rows])
+    del rows
+    model = fit(texts, marks) if texts else None
+    del texts
+    give_back()  # the driver goes on without what the fit held
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, into: str = "toxicity") -> DataFrame:

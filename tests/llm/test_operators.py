@@ -540,6 +540,18 @@ def test_string_kernel_is_the_table():
     assert np.allclose(model.values(some), toxicity._kernel(rows_, rows_) @ weights + 0.5)
 
 
+def test_word_values_are_computed_in_parts(monkeypatch):
+    """The driver's tables of all words of the labelled texts are held for a part of the words at a time."""
+    r = np.random.default_rng(5)
+    model = toxicity.Model(r.normal(size=toxicity.LETTERS**3), r.normal(size=toxicity.LETTERS**4), 0.25, 1.0, 0.0)
+    some = ["", "idiot", "a", "--", "w" * 40, "stupid", "x1y2z3", "lorem", "ipsum", "dolor"]
+    whole, held, plain = model.values(some), [], toxicity._laid_out
+    monkeypatch.setattr(toxicity, "PART", 3)
+    monkeypatch.setattr(toxicity, "_laid_out", lambda w: held.append(len(w)) or plain(w))
+    assert model.values(some).tolist() == whole.tolist() and held == [3, 3, 3, 1]
+    assert model.values([]).tolist() == []
+
+
 # 7
 
 
@@ -610,6 +622,21 @@ def test_links_of_dense_fingerprints(spark, hot):
     assert [got.get(n, n) for n in range(len(fps))] == label
 
 
+def test_plans_of_groups_stay_small(spark, monkeypatch):
+    """Every step reads what the steps before have written, and does not repeat them in its own plan."""
+    scans, plain = {}, simhash.stage
+
+    def counted(df, label):
+        scans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return plain(df, label)
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    fps = [(n, (n // 9) * 0x0101010101010101 + (1 << n % 9) - 1) for n in range(45)]
+    groups = {r.fp: r.component_id for r in simhash.groups_of(spark.createDataFrame(fps, "doc_id long, fp long")).collect()}
+    assert all(groups[f] <= n for n, f in fps)
+    assert max(max(x) for x in scans.values()) <= 8, scans
+
+
 # 8
 
 
