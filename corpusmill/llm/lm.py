@@ -47,7 +47,7 @@ CLASSES = GROUPS * PLACES
 SHARED = 16  # classes that several ids share
 PIECE, ROUNDS = 1024, 2
 SHARD_WINDOWS, BATCH, RATE = 100_000, 128, 0.03
-SCORED = 512  # chunks of one batch of attention
+SCORED = 128  # chunks of one batch of attention, whose arrays so stay in a core's cache
 SMOOTHING = 30.0  # tokens that the shares of all classes weigh in the counts after one class
 BLOCK_BYTES = 1 << 19  # of 16-bit ids
 _NONE = 0xFFFF
@@ -140,27 +140,36 @@ def _distinct(keys: np.ndarray, found: np.ndarray) -> bytes:
 # The model.
 
 
+SHAPES = {
+    "E": (CLASSES, DIM), "PQ": (CHUNK, DIM), "PK": (2 * CHUNK, DIM), "Wq": (DIM, DIM), "Wk": (DIM, DIM), "Wv": (DIM, DIM),
+    "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "Ug": (DIM, GROUPS), "bg": (GROUPS,), "Up": (GROUPS, DIM, PLACES), "bp": (GROUPS, PLACES),
+}
+
+
 def start(seed: int = 7) -> dict[str, np.ndarray]:
     """The parameters that every training starts from; nothing is added to the counts yet."""
     r = np.random.default_rng(seed)
-    shapes = {"E": (CLASSES, DIM), "PQ": (CHUNK, DIM), "PK": (2 * CHUNK, DIM), "Wq": (DIM, DIM), "Wk": (DIM, DIM), "Wv": (DIM, DIM),
-              "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "Ug": (DIM, GROUPS), "bg": (GROUPS,),
-              "Up": (GROUPS, DIM, PLACES), "bp": (GROUPS, PLACES)}
-    return {k: (np.zeros(s) if k[0] in "bU" else r.normal(0, 0.5 if k == "E" else 0.25, s)).astype(np.float32) for k, s in shapes.items()}
+    return {k: (np.zeros(s) if k[0] in "bU" else r.normal(0, 0.5 if k == "E" else 0.25, s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in start()])
+    return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
-def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
+def views(v: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters inside one array."""
     out, at = {}, 0
-    for k, x in start().items():
-        out[k] = v[at : at + x.size].reshape(x.shape).astype(np.float32)
-        at += x.size
+    for k, shape in SHAPES.items():
+        size = int(np.prod(shape))
+        out[k] = v[at : at + size].reshape(shape)
+        at += size
     return out
 
 
+def shaped(v: np.ndarray) -> dict[str, np.ndarray]:
+    return views(v.astype(np.float32))
+
+
 class Prior:
     """Smoothed log probabilities of a class after a class, as those of its group and of its place there."""
 
@@ -177,82 +186,133 @@ class Prior:
 _CAUSAL = np.where(np.arange(2 * CHUNK)[None, :] <= np.arange(CHUNK)[:, None] + CHUNK, 0.0, -1e9).astype(np.float32)
 
 
-def _by_group(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The groups that occur, each with its rows."""
-    order = np.argsort(groups.astype(np.int8), kind="stable")
-    cuts = np.searchsorted(groups[order], np.arange(GROUPS + 1))
-    return [(k, order[cuts[k] : cuts[k + 1]]) for k in range(GROUPS) if cuts[k] < cuts[k + 1]]
+_ONES = np.ones((GROUPS + PLACES + 2 * CHUNK, 1), np.float32)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Shares in the place of logits; sums by products with ones, as reductions of short rows cost more."""
+    np.minimum(logits, 80, out=logits)
+    np.exp(logits, out=logits)
+    total = logits @ _ONES[: logits.shape[-1]]
+    total += np.float32(1e-30)
+    np.reciprocal(total, out=total)
+    logits *= total
+    return logits
+
+
+def _by_shares(e: np.ndarray, want: np.ndarray, heavy: np.ndarray) -> float:
+    """Weighted loss of shares, which become its gradients by the logits."""
+    at = np.arange(len(want))
+    loss = -float((np.log(e[at, want] + 1e-30) * heavy).sum())
+    e *= heavy[:, None]
+    e[at, want] -= heavy
+    return loss
 
 
 def gradients(p: dict[str, np.ndarray], prior: Prior, inputs: np.ndarray, present: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the counted targets and its gradients: forward and backward through one attention layer."""
-    scale = np.float32(DIM**-0.5)
-    x = p["E"][inputs]
-    xq = x[:, CHUNK:]
-    q, k, v = xq @ p["Wq"] + p["PQ"], x @ p["Wk"] + p["PK"], x @ p["Wv"]
-    s = q @ k.swapaxes(1, 2) * scale + _CAUSAL + np.where(present, 0, -1e9).astype(np.float32)[:, None, :]
-    a = np.exp(s - s.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    h = xq + a @ v
-    z = h @ p["W1"] + p["b1"]
-    r = np.maximum(z, 0)
-    g = h + r @ p["W2"]
-    total = max(1.0, float(counted.sum()))
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    gf, target, weight, ahead = two(g), targets.ravel(), (counted.ravel() / total).astype(g.dtype), inputs[:, CHUNK:].ravel()
-    dgf, d = np.zeros_like(gf), {"Up": np.zeros_like(p["Up"]), "bp": np.zeros_like(p["bp"])}
-    loss = 0.0
-
-    def softmax(x_: np.ndarray, u: np.ndarray, bias: np.ndarray, want: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One softmax's gradients by its weights, its bias and its rows; adds to the loss."""
-        nonlocal loss
-        e = np.exp((z_ := x_ @ u + bias) - z_.max(-1, keepdims=True))
-        e /= e.sum(-1, keepdims=True)
-        at = np.arange(len(want))
-        loss -= float((np.log(e[at, want] + 1e-30) * heavy).sum())
-        e[at, want] -= 1
-        e *= heavy[:, None]
-        return x_.T @ e, e.sum(0), e @ u.T
-
-    d["Ug"], d["bg"], by_rows = softmax(gf, p["Ug"], p["bg"] + prior.group[ahead], target // PLACES, weight)
-    dgf += by_rows
-    for k_, rows in _by_group(target // PLACES):
-        d["Up"][k_], d["bp"][k_], by_rows = softmax(gf[rows], p["Up"][k_], p["bp"][k_] + prior.place[ahead[rows], k_], target[rows] % PLACES, weight[rows])
-        dgf[rows] += by_rows
-    dg = dgf.reshape(g.shape)
-    d["W2"] = two(r).T @ two(dg)
-    dz = (dg @ p["W2"].T) * (z > 0)
-    d["W1"], d["b1"] = two(h).T @ two(dz), two(dz).sum(0)
-    dh = dg + dz @ p["W1"].T
-    da, dv = dh @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.swapaxes(1, 2) @ q
-    d["Wq"], d["PQ"] = two(xq).T @ two(dq), dq.sum(0)
-    d["Wk"], d["PK"], d["Wv"] = two(x).T @ two(dk), dk.sum(0), two(x).T @ two(dv)
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    dx[:, CHUNK:] += dh + dq @ p["Wq"].T
-    order = np.argsort(inputs, axis=None, kind="stable")
-    used, first = np.unique(inputs.ravel()[order], return_index=True)
+    """Mean loss of the counted targets and its gradients: forward and backward through one attention layer.
+
+    From attention on, rows stand in order of their target's group, so that a group's rows are a slice.
+    """
+    scale = np.asarray(DIM**-0.5, p["E"].dtype)
+    shape = (len(inputs), CHUNK, DIM)
+    d: dict[str, np.ndarray] = {}
+    x, xq = p["E"].take(inputs.ravel(), 0), p["E"].take(inputs[:, CHUNK:].ravel(), 0)
+    q, k, v = ((y @ p[w]).reshape(len(inputs), -1, DIM) for y, w in ((xq, "Wq"), (x, "Wk"), (x, "Wv")))
+    q += p["PQ"]
+    q *= scale
+    k += p["PK"]
+    a = q @ k.swapaxes(1, 2)
+    a += _CAUSAL
+    short = np.flatnonzero(~present.all(1))
+    a[short] += np.where(present[short], 0, -1e9).astype(a.dtype)[:, None, :]
+    _softmax(a)
+    met = a @ v
+    group = targets.ravel() // PLACES
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    group, place, ahead = group[order], targets.ravel()[order] % PLACES, inputs[:, CHUNK:].ravel()[order]
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    spans = [(n, slice(cuts[n], cuts[n + 1])) for n in range(GROUPS) if cuts[n] < cuts[n + 1]]
+    heavy = (counted.ravel()[order] / max(1.0, float(counted.sum()))).astype(x.dtype)
+    h = (met.reshape(-1, DIM) + xq).take(order, 0)
+    r = h @ p["W1"]
+    r += p["b1"]
+    np.maximum(r, 0, out=r)
+    g = r @ p["W2"]
+    g += h
+
+    e = g @ p["Ug"]
+    e += (prior.group + p["bg"]).take(ahead, 0)
+    loss = _by_shares(_softmax(e), group, heavy)
+    d["Ug"], d["bg"], dg = g.T @ e, e.sum(0), e @ p["Ug"].T
+
+    e = prior.place.reshape(-1, PLACES).take(ahead * GROUPS + group, 0).astype(g.dtype, copy=False)
+    for n, rows in spans:
+        part = g[rows] @ p["Up"][n]
+        part += p["bp"][n]
+        e[rows] += part
+    loss += _by_shares(_softmax(e), place, heavy)
+    d["Up"], d["bp"], back = np.zeros_like(p["Up"]), np.zeros_like(p["bp"]), np.empty_like(dg)
+    for n, rows in spans:
+        np.matmul(g[rows].T, e[rows], out=d["Up"][n])
+        np.matmul(e[rows], p["Up"][n].T, out=back[rows])
+    d["bp"][[n for n, _ in spans]] = np.add.reduceat(e, [rows.start for _, rows in spans])
+    dg += back
+
+    d["W2"] = r.T @ dg
+    dz = dg @ p["W2"].T
+    dz *= r > 0
+    d["W1"], d["b1"] = h.T @ dz, dz.sum(0)
+    dg += dz @ p["W1"].T
+    flat_dh = np.empty_like(dg)
+    flat_dh[order] = dg
+    dh = flat_dh.reshape(shape)
+    ds, dv = dh @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dh
+    met *= dh
+    ds -= met @ np.ones((DIM, 1), met.dtype)  # the sum of a * da
+    ds *= a
+    dq, dk = (ds @ k).reshape(-1, DIM), (ds.swapaxes(1, 2) @ q).reshape(-1, DIM)
+    dq *= scale
+    dv = dv.reshape(-1, DIM)
+    d["Wq"], d["PQ"] = xq.T @ dq, dq.reshape(len(inputs), -1).sum(0).reshape(CHUNK, DIM)
+    d["Wk"], d["PK"], d["Wv"] = x.T @ dk, dk.reshape(len(inputs), -1).sum(0).reshape(2 * CHUNK, DIM), x.T @ dv
+    dx = dk @ p["Wk"].T
+    dx += dv @ p["Wv"].T
+    flat_dh += dq @ p["Wq"].T
+    dx.reshape(len(inputs), 2, CHUNK * DIM)[:, 1] += flat_dh.reshape(len(inputs), -1)
+    order = np.argsort(inputs.astype(np.int16).ravel(), kind="stable")
+    held = inputs.ravel()[order]
+    first = np.flatnonzero(np.diff(held, prepend=-1))
     d["E"] = np.zeros_like(p["E"])
-    d["E"][used] = np.add.reduceat(two(dx)[order], first)
+    d["E"][held[first]] = np.add.reduceat(dx.take(order, 0), first)
     return loss, d
 
 
 def train_shard(p: dict[str, np.ndarray], prior: Prior, windows: np.ndarray, classes: np.ndarray, round_: int) -> dict[str, np.ndarray]:
     """One pass of Adam over one shard's windows (rows of 2 * CHUNK inputs and CHUNK targets, as ids or none)."""
-    known = windows != _NONE
-    c = classes[np.where(known, windows, 0)]
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    p, step = {k: x.copy() for k, x in p.items()}, 0
+    own = flat(p)
+    p, m, v, step = views(own), np.zeros_like(own), np.zeros_like(own), 0
     dealt = np.array_split(np.random.default_rng(round_).permutation(len(windows)), max(1, len(windows) // BATCH))
     for at in dealt:
-        _, g = gradients(p, prior, c[at, : 2 * CHUNK], known[at, : 2 * CHUNK], c[at, 2 * CHUNK :], known[at, 2 * CHUNK :])
+        rows = windows[at]
+        known = rows != _NONE
+        c = classes.take(np.where(known, rows, 0))
+        _, g = gradients(p, prior, c[:, : 2 * CHUNK], known[:, : 2 * CHUNK], c[:, 2 * CHUNK :], known[:, 2 * CHUNK :])
         step += 1
         rate = RATE * (1 - 0.9 * (step / len(dealt))) / (1 + round_)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= (rate * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        by = flat(g)
+        m *= 0.9
+        m += 0.1 * by
+        by *= by
+        by *= 0.01
+        v *= 0.99
+        v += by
+        np.multiply(v, 1 / (1 - 0.99**step), out=by)
+        np.sqrt(by, out=by)
+        by += 1e-8
+        np.divide(m, by, out=by)
+        by *= rate / (1 - 0.9**step)
+        own -= by
     return p
 
 
@@ -348,18 +408,23 @@ class Scorer:
     def chunks(self, chunks: Chunks, at: int, to: int) -> np.ndarray:
         """Natural log probability of each wanted class of chunks at..to, by one batch of masked attention."""
         now, seen = chunks.inputs[at:to], chunks.seen(np.arange(at, to))
-        q = self.q[now] + self.pq
-        k = self.k[seen] + self.pk
+        n = len(now)
+        q = self.q.take(now, 0, mode="wrap")  # -1, where a text has ended, is the last class
+        q += self.pq
+        k = self.k.take(seen, 0, mode="wrap")
+        k += self.pk
         s = q @ k.swapaxes(1, 2)
         s += _CAUSAL
-        s += np.where(seen < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        missing = seen < 0
+        short = np.flatnonzero(missing.any(1))
+        s[short] += np.where(missing[short], np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, 80, out=s)
         np.exp(s, out=s)
-        total = s @ np.ones((2 * CHUNK, 1), np.float32)
+        total = s.reshape(n * CHUNK, -1) @ _ONES[: 2 * CHUNK]
         total += np.float32(1e-30)
-        h = s @ self.v[seen]
+        h = (s @ self.v.take(seen, 0, mode="wrap")).reshape(-1, DIM)
         h /= total
-        h += self.e[now]
+        h += self.e.take(now.ravel(), 0, mode="wrap")
         want, ahead = chunks.targets[at:to].ravel().astype(np.int32), now.ravel().astype(np.int32)
         value = np.zeros(len(want), np.float32)
         group = want // PLACES  # -1 where a text has ended
@@ -367,15 +432,15 @@ class Scorer:
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         order = order[cuts[0] :]
         cuts = (cuts - cuts[0]).tolist()
-        want, ahead, group, h = want[order], ahead[order], group[order], h.reshape(-1, DIM)[order]
+        want, ahead, group, h = want[order], ahead[order], group[order], h.take(order, 0)
         r = h @ self.p["W1"]
         r += self.p["b1"]
         np.maximum(r, 0, out=r)
         h += r @ self.p["W2"]
         logits = h @ self.p["Ug"]
-        logits += self.group[ahead]
+        logits += self.group.take(ahead, 0)
         own = self._log_softmax(logits, group)
-        logits = self.place[ahead * GROUPS + group]
+        logits = self.place.take(ahead * GROUPS + group, 0)
         for k in range(GROUPS):
             if cuts[k] < cuts[k + 1]:
                 logits[cuts[k] : cuts[k + 1]] += h[cuts[k] : cuts[k + 1]] @ self.p["Up"][k]
@@ -389,7 +454,7 @@ class Scorer:
         np.minimum(logits, 80, out=logits)
         picked = logits[np.arange(len(want)), want]
         np.exp(logits, out=logits)
-        return picked - np.log(logits @ np.ones(logits.shape[1], np.float32) + np.float32(1e-30))
+        return picked - np.log((logits @ _ONES[: logits.shape[1]])[:, 0] + np.float32(1e-30))
 
 
 def _trainer(p: dict[str, np.ndarray], prior: Prior, classes: np.ndarray, round_: int):

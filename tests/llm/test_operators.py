@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import sys
 import weakref
 import zlib
 
@@ -388,6 +389,44 @@ def test_lm_gradients():
         assert abs((values[0] - values[1]) / 2e-5 - grads[k][at]) < 1e-4
 
 
+def test_lm_step_takes_all_groups_at_once():
+    """The softmaxes inside the groups are one pass over all rows: calls don't grow with the groups."""
+    r = np.random.default_rng(1)
+    inputs, targets = r.integers(0, lm.CLASSES, (64, 2 * lm.CHUNK)), r.integers(0, lm.CLASSES, (64, lm.CHUNK))
+    prior, calls = some_prior(r), collections.Counter()
+
+    def seen(frame, event, arg):
+        if event == "call" and frame.f_code.co_filename == lm.__file__:
+            calls[frame.f_code.co_name] += 1
+
+    sys.setprofile(seen)
+    try:
+        lm.gradients(lm.start(), prior, inputs, np.ones(inputs.shape, bool), targets, np.ones(targets.shape, bool))
+    finally:
+        sys.setprofile(None)
+    assert len(np.unique(targets // lm.PLACES)) == lm.GROUPS and sum(calls.values()) < lm.GROUPS, calls
+
+
+def test_lm_steps_equal_plain_adam():
+    r = np.random.default_rng(4)
+    windows = r.integers(0, 3000, (3 * lm.BATCH + 5, 3 * lm.CHUNK)).astype(np.uint16)
+    windows[:40, : lm.CHUNK], windows[7, -5:], windows[7, 2 * lm.CHUNK - 4 : 2 * lm.CHUNK] = lm._NONE, lm._NONE, lm._NONE
+    classes, _ = lm.class_table(r.integers(0, 9, lm.END_ID + 1))
+    prior, p = some_prior(r), lm.start()
+    got = lm.train_shard(p, prior, windows, classes, 1)
+    assert all((p[k] == v).all() for k, v in lm.start().items())
+    p = {k: x.astype(float) for k, x in p.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    known, dealt = windows != lm._NONE, np.array_split(np.random.default_rng(1).permutation(len(windows)), 3)
+    c = classes[np.where(known, windows, 0)]
+    for step, at in enumerate(dealt, 1):
+        _, g = lm.gradients(p, prior, c[at, : 2 * lm.CHUNK], known[at, : 2 * lm.CHUNK], c[at, 2 * lm.CHUNK :], known[at, 2 * lm.CHUNK :])
+        for k in p:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+            p[k] -= lm.RATE * (1 - 0.9 * step / 3) / 2 * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    assert all(np.allclose(got[k], p[k], atol=2e-3) for k in p)
+
+
 def brute_lm(p, prior, classes, share, ids):
     """log10 probability of one text, an id at a time."""
     whole = [lm.END_ID, *ids, lm.END_ID]
