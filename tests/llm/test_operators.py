@@ -15,9 +15,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, jpeg, licenses, lm, packing, registry, simhash, substring, token_counts, token_store, tokens, toxicity
+from corpusmill.llm import blocks, decontaminate, jpeg, licenses, lm, packing, registry, simhash, substring, token_counts, token_store, tokens, toxicity
 
 LONG = " ".join(f"w{i}" for i in range(400))
 AWKWARD = [
@@ -92,6 +93,21 @@ def test_levels_double():
     assert substring.level_lengths(50) == [25, 50] and substring.level_lengths(50, 6) == [4, 7, 13, 25, 50] and substring.level_lengths(2) == [1, 2]
 
 
+def test_standing_windows_spread_over_all_buckets():
+    """A level's keys are least hashes, which are small; dealt by range as they are, the first of 12 buckets got 78 % of them."""
+    rng, words_ = random.Random(3), [f"v{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words_, k=2000)).encode() for _ in range(30)]
+    lengths, body = blocks._pack(texts)
+    row = {"block": 0, "ids": np.arange(30).tobytes(), "known": np.ones(30, bool).tobytes(), "lengths": lengths, "body": zstandard.ZstdCompressor().compress(body)}
+    for more in ({}, {"level0": np.ones(1 << 16, np.uint8).tobytes()}):
+        search = substring.Search(row, [13, 25, 50])
+        if more:  # the next level, where every window is still a candidate
+            search = substring.Search(row | {"level0": more["level0"][: len(search.ask()[0])]}, [13, 25, 50])
+        keys = search.ask()[0]
+        assert (np.diff(keys.astype(object)) > 0).all() and len(keys) > 2000
+        assert np.bincount((keys >> np.uint64(60)).astype(int), minlength=16).max() < 2 * len(keys) / 16
+
+
 W49 = " ".join(f"s{i}" for i in range(49))
 SHORT = {
     "nulls": [(1, None), (2, None), (None, None)], "empty": [(1, ""), (2, " \n")], "one word": [(1, "a"), (2, "a"), (None, "a")],
