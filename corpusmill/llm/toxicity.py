@@ -24,7 +24,6 @@ empty result.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from itertools import combinations
 
@@ -42,11 +41,13 @@ FOLDS, HELD_OUT = 5, 0
 LETTERS, SPAN, DECAY = 32, 7, 0.6
 LANDMARKS = 256
 REMEMBERED = 150_000
-PART = 20_000  # words whose values are computed at once
+PART = 4_000  # words whose values are computed at once, whose arrays so stay in a core's cache
 
 #: Letters a-z keep their place; other letters fold into the last codes.
-_SPLIT = re.compile(r"[\s.!?,;:\"()\[\]{}<>/\\|]+")
+_BETWEEN = bytes(32 if b in b'.!?,;:"()[]{}<>/\\|' else b for b in range(256))  # with white space what stands between words
 _CODES = {chr(97 + k): k + 1 for k in range(26)}
+_STOP, _UNKNOWN = 254, 255
+_BY_POINT = np.full(0x110000, _UNKNOWN, np.uint8)  # codes of characters, as far as they were met
 _OFFSETS = {n: [(0, *c) for c in combinations(range(1, SPAN), n - 1)] for n in (3, 4)}
 
 
@@ -57,7 +58,16 @@ def code(word: str) -> list[int]:
 
 def candidates(text: str) -> list[str]:
     """The words of a text, and each stretch of single letters written apart as one word."""
-    words = _SPLIT.split(text)
+    spaced = text.encode("utf-8", "surrogatepass").translate(_BETWEEN).decode("utf-8", "surrogatepass")
+    words = spaced.split()
+    if not words:
+        return ["", ""] if text else [""]
+    if spaced[0].isspace():
+        words.insert(0, "")
+    if spaced[-1].isspace():
+        words.append("")
+    if 1 not in map(len, words):
+        return words
     out, run = [], []
     for w in words:
         if len(w) == 1 and w.isalpha():
@@ -72,14 +82,20 @@ def candidates(text: str) -> list[str]:
 
 
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter codes of all words with gaps that no subsequence bridges, word starts, and word lengths."""
-    coded = [code(w) for w in words]
-    lengths = np.array([len(c) for c in coded], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + SPAN)[:-1]]) if len(coded) else np.zeros(0, np.int64)
-    flat = np.zeros(int((lengths + SPAN).sum()) + SPAN, np.int64)
-    if lengths.sum():
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-        flat[at] = np.fromiter((x for c in coded for x in c), np.int64, int(lengths.sum()))
+    """Letter codes of all words (without white space) with gaps that no subsequence bridges, word starts, and word lengths."""
+    points = np.frombuffer("\n".join(words).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _BY_POINT[points]
+    new = codes == _UNKNOWN
+    if new.any():
+        for p in np.unique(points[new]).tolist():
+            _BY_POINT[p] = _STOP if p == 10 else sum(code(chr(p)))
+        codes = _BY_POINT[points]
+    codes = codes[codes > 0]
+    stops = codes == _STOP
+    lengths = np.diff(np.flatnonzero(stops), prepend=-1, append=len(codes)) - 1 if words else np.zeros(0, np.int64)
+    starts = np.cumsum(lengths + SPAN) - lengths - SPAN
+    flat = np.zeros(int((lengths + SPAN).sum()) + SPAN, np.int32)
+    flat[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)) * SPAN, lengths)] = codes[~stops]
     return flat, starts, lengths
 
 
@@ -159,7 +175,11 @@ class Model:
     """Tables of subsequence weights, the bias, and the logistic curve."""
 
     def __init__(self, three: np.ndarray, four: np.ndarray, bias: float, slope: float, shift: float):
-        self.three, self.four, self.bias, self.slope, self.shift = three, four, bias, slope, shift
+        one = np.arange(LETTERS) > 0  # no subsequence has a letter of code 0
+        spelt = np.logical_and.outer(np.logical_and.outer(one, one), one)
+        self.three, self.four = three * spelt.ravel(), four * np.logical_and.outer(spelt, one).ravel()
+        self.longer = self.four.reshape(-1, LETTERS).any(1)  # which three letters start four that weigh
+        self.bias, self.slope, self.shift = bias, slope, shift
         self.known: dict[str, float] = {}
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -169,17 +189,27 @@ class Model:
 
     def _values(self, words: list[str]) -> np.ndarray:
         flat, starts, lengths = _laid_out(words)
-        total = np.zeros(len(flat) - SPAN, np.float64)
-        for size, weights in ((3, self.three), (4, self.four)):
-            for o in _OFFSETS[size]:
-                total += weights[_keys(flat, o)] * DECAY ** (o[-1] + 1)
-        sums = np.add.reduceat(total, starts)
+        count = np.maximum(lengths - 2, 0)  # letters that two more follow
+        owner = np.repeat(np.arange(len(lengths)), count)
+        at = starts[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        letter = [flat[at + o] for o in range(SPAN)]  # 0 beyond the word
+        total = np.zeros(len(at))
+        for i in range(1, SPAN - 1):
+            two = letter[0] * LETTERS + letter[i]
+            for j in range(i + 1, SPAN):
+                key = two * LETTERS + letter[j]
+                total += self.three.take(key) * DECAY ** (j + 1)
+                some = np.flatnonzero(self.longer.take(key)) if j + 1 < SPAN else ()
+                if len(some):
+                    first = key[some] * LETTERS
+                    total[some] += sum(self.four.take(first + letter[k][some]) * DECAY ** (k + 1) for k in range(j + 1, SPAN))
+        sums = np.bincount(owner, total, len(lengths))
         norms = _norms(lengths)
         return np.where(norms > 0, sums / np.maximum(norms, 1e-12), 0.0) + self.bias
 
     def most(self, texts: list[str]) -> np.ndarray:
         """The largest word value of each text; the bias where there is no word."""
-        split = [candidates(t) for t in texts]
+        split = [set(candidates(t)) for t in texts]
         fresh = list(set().union(*split).difference(self.known)) if split else []
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()

@@ -607,6 +607,31 @@ def test_word_values_are_computed_in_parts(monkeypatch):
     assert model.values([]).tolist() == []
 
 
+def test_words_are_coded_and_valued_together(monkeypatch):
+    """A character is coded once and not in every word; no subsequence with a letter of code 0 weighs; values equal the sums of the features."""
+    r, rng = np.random.default_rng(6), random.Random(6)
+    three, four = r.normal(size=toxicity.LETTERS**3), r.normal(size=toxicity.LETTERS**4) * (r.random(toxicity.LETTERS**4) < 0.3)
+    model = toxicity.Model(three, four, 0.25, 1.0, 0.0)
+    some = ["", "ab", "-", "w" * 9, "ΑΣ", "İx", "x\x00yz", "日本語"] + ["".join(rng.choices("abcdeÉßΣ1-", k=rng.randint(0, 12))) for _ in range(300)]
+    weights = np.concatenate([four, three])
+    brute = [sum(v * weights[k] for k, v in f.items()) + 0.25 for f in toxicity.features(some)]
+    calls, plain = [], toxicity.code
+    monkeypatch.setattr(toxicity, "code", lambda w: calls.append(w) or plain(w))
+    assert np.allclose(model.values(some), brute) and len(calls) < 40
+    assert [plain(w) for w in some] == [toxicity._laid_out(some)[0][a : a + n].tolist() for a, n in zip(*toxicity._laid_out(some)[1:])]
+
+
+def test_words_between_marks():
+    """Words are what stands between white space and marks, with an empty one at an end that has them; letters apart are one word more."""
+    marks, rng = re.compile(r"[\s.!?,;:\"()\[\]{}<>/\\|]+"), random.Random(7)
+    texts = ["", ".", "a", " a b\x1cc\x85d ", "é\u3000è à ç!", "\ud800 x"] + ["".join(rng.choices("abé.日!\n\u3000\x1f-|", k=rng.randint(0, 40))) for _ in range(500)]
+    for t in texts:
+        found, words_ = toxicity.candidates(t), marks.split(t)
+        assert found[len(found) - len(words_) :] == words_
+        runs = re.findall(r"(?:(?<= )[^\W\d_] ){4,}", " " + "  ".join(words_).replace("  ", " ") + " ")
+        assert found[: len(found) - len(words_)] == [x.replace(" ", "") for x in runs]
+
+
 # 7
 
 
