@@ -187,104 +187,138 @@ _CAUSAL = np.where(np.arange(2 * CHUNK)[None, :] <= np.arange(CHUNK)[:, None] +
 
 
 _ONES = np.ones((GROUPS + PLACES + 2 * CHUNK, 1), np.float32)
+_PAIRED = {"f": np.complex64, "d": np.complex128}  # two neighbours as one number, whose sums are theirs
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Shares in the place of logits; sums by products with ones, as reductions of short rows cost more."""
-    np.minimum(logits, 80, out=logits)
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Logits become their exponentials; returns the sums of rows, by a product with ones, as reductions of short rows cost more."""
+    if logits.max() > 80:
+        np.minimum(logits, 80, out=logits)
     np.exp(logits, out=logits)
-    total = logits @ _ONES[: logits.shape[-1]]
+    total = (logits.reshape(-1, logits.shape[-1]) @ _ONES[: logits.shape[-1]])[:, 0]
     total += np.float32(1e-30)
-    np.reciprocal(total, out=total)
-    logits *= total
-    return logits
+    return total
 
 
 def _by_shares(e: np.ndarray, want: np.ndarray, heavy: np.ndarray) -> float:
-    """Weighted loss of shares, which become its gradients by the logits."""
-    at = np.arange(len(want))
-    loss = -float((np.log(e[at, want] + 1e-30) * heavy).sum())
+    """Weighted loss of logits, which become its gradients; shares are never made: their sums and weights scale a row at once."""
+    total, at = _shares(e), np.arange(len(want)) * e.shape[1] + want
+    flat_e = e.reshape(-1)
+    picked = flat_e.take(at)
+    loss = -float((np.log(picked / total + 1e-30) * heavy).sum())
+    flat_e[at] = picked - total
+    heavy = heavy / total
     e *= heavy[:, None]
-    e[at, want] -= heavy
     return loss
 
 
+def by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The sum of each class's rows, two neighbouring columns at a time and without sorting."""
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    pair = _PAIRED[rows.dtype.char]
+    np.add.at(out.view(pair).reshape(-1), _PLACE_OF_PAIR.take(classes, 0).reshape(-1), rows.view(pair).reshape(-1))
+    return out
+
+
+_PLACE_OF_PAIR = np.arange(CLASSES * DIM // 2).reshape(CLASSES, -1)
+
+
+def _and_one(rows: int, kind: np.dtype) -> np.ndarray:
+    """Rows of a vector and a one, whose weight is the bias."""
+    out = np.empty((rows, DIM + 1), kind)
+    out[:, DIM] = 1
+    return out
+
+
 def gradients(p: dict[str, np.ndarray], prior: Prior, inputs: np.ndarray, present: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the counted targets and its gradients: forward and backward through one attention layer.
 
-    From attention on, rows stand in order of their target's group, so that a group's rows are a slice.
+    Keys, values and queries are made once a class, and an id takes its class's.  From attention on, rows
+    stand in order of their target's group, so that a group's rows are a slice.  Exponentials stay as they
+    are, and the sums of their rows scale the shorter rows that they are multiplied with.
     """
-    scale = np.asarray(DIM**-0.5, p["E"].dtype)
-    shape = (len(inputs), CHUNK, DIM)
+    kind, n = p["E"].dtype, len(inputs)
+    scale = np.asarray(DIM**-0.5, kind)
     d: dict[str, np.ndarray] = {}
-    x, xq = p["E"].take(inputs.ravel(), 0), p["E"].take(inputs[:, CHUNK:].ravel(), 0)
-    q, k, v = ((y @ p[w]).reshape(len(inputs), -1, DIM) for y, w in ((xq, "Wq"), (x, "Wk"), (x, "Wv")))
-    q += p["PQ"]
-    q *= scale
-    k += p["PK"]
+    seen, now, then = inputs.ravel(), inputs[:, CHUNK:].ravel(), targets.ravel()
+    x, xq = p["E"].take(seen, 0), p["E"].take(now, 0)
+    both = np.concatenate([p["Wk"], p["Wv"]], 1)
+    kv = (p["E"] @ both).take(seen, 0).reshape(n, 2 * CHUNK, 2 * DIM)
+    kv += np.concatenate([p["PK"], np.zeros_like(p["PK"])], 1)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    wq = p["Wq"] * scale
+    q = (p["E"] @ wq).take(now, 0).reshape(n, CHUNK, DIM)
+    q += p["PQ"] * scale
     a = q @ k.swapaxes(1, 2)
     a += _CAUSAL
-    short = np.flatnonzero(~present.all(1))
-    a[short] += np.where(present[short], 0, -1e9).astype(a.dtype)[:, None, :]
-    _softmax(a)
-    met = a @ v
-    group = targets.ravel() // PLACES
+    row, spot = np.divmod(np.flatnonzero(~present), 2 * CHUNK)
+    a[row, :, spot] -= 1e9
+    shrink = np.reciprocal(_shares(a))[:, None]
+    met = (a @ v).reshape(-1, DIM)
+    met *= shrink
+
+    group = then // PLACES
     order = np.argsort(group.astype(np.int8), kind="stable")
-    group, place, ahead = group[order], targets.ravel()[order] % PLACES, inputs[:, CHUNK:].ravel()[order]
+    group, place, ahead = group.take(order), (then % PLACES).take(order), now.take(order)
     cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-    spans = [(n, slice(cuts[n], cuts[n + 1])) for n in range(GROUPS) if cuts[n] < cuts[n + 1]]
-    heavy = (counted.ravel()[order] / max(1.0, float(counted.sum()))).astype(x.dtype)
-    h = (met.reshape(-1, DIM) + xq).take(order, 0)
-    r = h @ p["W1"]
-    r += p["b1"]
-    np.maximum(r, 0, out=r)
-    g = r @ p["W2"]
-    g += h
-
-    e = g @ p["Ug"]
-    e += (prior.group + p["bg"]).take(ahead, 0)
-    loss = _by_shares(_softmax(e), group, heavy)
-    d["Ug"], d["bg"], dg = g.T @ e, e.sum(0), e @ p["Ug"].T
-
-    e = prior.place.reshape(-1, PLACES).take(ahead * GROUPS + group, 0).astype(g.dtype, copy=False)
-    for n, rows in spans:
-        part = g[rows] @ p["Up"][n]
-        part += p["bp"][n]
-        e[rows] += part
-    loss += _by_shares(_softmax(e), place, heavy)
-    d["Up"], d["bp"], back = np.zeros_like(p["Up"]), np.zeros_like(p["bp"]), np.empty_like(dg)
-    for n, rows in spans:
-        np.matmul(g[rows].T, e[rows], out=d["Up"][n])
-        np.matmul(e[rows], p["Up"][n].T, out=back[rows])
-    d["bp"][[n for n, _ in spans]] = np.add.reduceat(e, [rows.start for _, rows in spans])
+    some = [(m, slice(cuts[m], cuts[m + 1])) for m in range(GROUPS) if cuts[m] < cuts[m + 1]]
+    heavy = counted.ravel().take(order).astype(kind)
+    heavy /= max(1, np.count_nonzero(heavy))
+    h = _and_one(len(now), kind)
+    np.add(met, xq, out=h[:, :DIM])
+    h = h.take(order, 0)
+    r = h @ np.vstack([p["W1"], p["b1"]])
+    wide = r.reshape(n, -1)  # loops over short rows and numbers cost more
+    np.maximum(wide, np.zeros(wide.shape[1], kind), out=wide)
+    g = _and_one(len(now), kind)
+    np.add(r @ p["W2"], h[:, :DIM], out=g[:, :DIM])
+
+    e = g @ np.vstack([p["Ug"], p["bg"]])
+    e += prior.group.take(ahead, 0)
+    loss = _by_shares(e, group, heavy)
+    by = e.T @ g
+    d["Ug"], d["bg"], dg = by[:, :DIM].T, by[:, DIM], e @ p["Ug"].T
+
+    up, parts = np.concatenate([p["Up"], p["bp"][:, None]], 1), [(m, g[rows], e[rows]) for m, rows in some]
+    for m, given, made in parts:
+        np.dot(given, up[m], made)
+    e += prior.place.reshape(-1, PLACES).take(ahead * GROUPS + group, 0)
+    loss += _by_shares(e, place, heavy)
+    by, back = np.zeros((GROUPS, PLACES, DIM + 1), kind), np.empty_like(dg)
+    for (m, given, made), (_, rows) in zip(parts, some):
+        np.dot(made.T, given, by[m])
+        np.dot(made, p["Up"][m].T, back[rows])
+    d["Up"], d["bp"] = by[:, :, :DIM].swapaxes(1, 2), by[:, :, DIM]
     dg += back
 
     d["W2"] = r.T @ dg
     dz = dg @ p["W2"].T
     dz *= r > 0
-    d["W1"], d["b1"] = h.T @ dz, dz.sum(0)
+    by = dz.T @ h
+    d["W1"], d["b1"] = by[:, :DIM].T, by[:, DIM]
     dg += dz @ p["W1"].T
-    flat_dh = np.empty_like(dg)
-    flat_dh[order] = dg
-    dh = flat_dh.reshape(shape)
-    ds, dv = dh @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dh
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dh = dg.take(back, 0)
+
     met *= dh
-    ds -= met @ np.ones((DIM, 1), met.dtype)  # the sum of a * da
+    part = (dh * shrink).reshape(n, CHUNK, DIM)
+    ds = part @ v.swapaxes(1, 2)
+    ds -= (met @ np.ones((DIM, 1), kind) * shrink).reshape(n, CHUNK, 1)  # the sum of a * da
     ds *= a
-    dq, dk = (ds @ k).reshape(-1, DIM), (ds.swapaxes(1, 2) @ q).reshape(-1, DIM)
-    dq *= scale
-    dv = dv.reshape(-1, DIM)
-    d["Wq"], d["PQ"] = xq.T @ dq, dq.reshape(len(inputs), -1).sum(0).reshape(CHUNK, DIM)
-    d["Wk"], d["PK"], d["Wv"] = x.T @ dk, dk.reshape(len(inputs), -1).sum(0).reshape(2 * CHUNK, DIM), x.T @ dv
-    dx = dk @ p["Wk"].T
-    dx += dv @ p["Wv"].T
-    flat_dh += dq @ p["Wq"].T
-    dx.reshape(len(inputs), 2, CHUNK * DIM)[:, 1] += flat_dh.reshape(len(inputs), -1)
-    order = np.argsort(inputs.astype(np.int16).ravel(), kind="stable")
-    held = inputs.ravel()[order]
-    first = np.flatnonzero(np.diff(held, prepend=-1))
-    d["E"] = np.zeros_like(p["E"])
-    d["E"][held[first]] = np.add.reduceat(dx.take(order, 0), first)
+    dkv = np.empty_like(kv)
+    np.matmul(ds.swapaxes(1, 2), q, out=dkv[:, :, :DIM])
+    np.matmul(a.swapaxes(1, 2), part, out=dkv[:, :, DIM:])
+    dq = (ds @ k).reshape(-1, DIM)
+    d["Wq"], d["PQ"] = xq.T @ dq * scale, dq.reshape(n, -1).sum(0).reshape(CHUNK, DIM) * scale
+    d["PK"] = dkv.reshape(n, -1).sum(0).reshape(2 * CHUNK, 2 * DIM)[:, :DIM]
+    dkv = dkv.reshape(-1, 2 * DIM)
+    by = dkv.T @ x
+    d["Wk"], d["Wv"] = by[:DIM].T, by[DIM:].T
+    dx = dkv @ both.T
+    dh += dq @ wq.T
+    dx.reshape(n, 2, CHUNK * DIM)[:, 1] += dh.reshape(n, -1)
+    d["E"] = by_class(dx, seen)
     return loss, d
 
 
@@ -292,26 +326,26 @@ def train_shard(p: dict[str, np.ndarray], prior: Prior, windows: np.ndarray, cla
     """One pass of Adam over one shard's windows (rows of 2 * CHUNK inputs and CHUNK targets, as ids or none)."""
     own = flat(p)
     p, m, v, step = views(own), np.zeros_like(own), np.zeros_like(own), 0
+    of = np.full(_NONE + 1, classes[0])
+    of[: len(classes)] = classes
     dealt = np.array_split(np.random.default_rng(round_).permutation(len(windows)), max(1, len(windows) // BATCH))
     for at in dealt:
-        rows = windows[at]
-        known = rows != _NONE
-        c = classes.take(np.where(known, rows, 0))
+        rows = windows.take(at, 0)
+        known, c = rows != _NONE, of.take(rows)
         _, g = gradients(p, prior, c[:, : 2 * CHUNK], known[:, : 2 * CHUNK], c[:, 2 * CHUNK :], known[:, 2 * CHUNK :])
         step += 1
         rate = RATE * (1 - 0.9 * (step / len(dealt))) / (1 + round_)
         by = flat(g)
-        m *= 0.9
-        m += 0.1 * by
+        m *= 0.9  # m and v are ten and a hundred times the means of Adam
+        m += by
         by *= by
-        by *= 0.01
         v *= 0.99
         v += by
-        np.multiply(v, 1 / (1 - 0.99**step), out=by)
-        np.sqrt(by, out=by)
-        by += 1e-8
+        np.sqrt(v, out=by)
+        part = (0.01 / (1 - 0.99**step)) ** 0.5
+        by += 1e-8 / part
         np.divide(m, by, out=by)
-        by *= rate / (1 - 0.9**step)
+        by *= 0.1 * rate / (1 - 0.9**step) / part
         own -= by
     return p
 
@@ -408,31 +442,26 @@ class Scorer:
     def chunks(self, chunks: Chunks, at: int, to: int) -> np.ndarray:
         """Natural log probability of each wanted class of chunks at..to, by one batch of masked attention."""
         now, seen = chunks.inputs[at:to], chunks.seen(np.arange(at, to))
-        n = len(now)
         q = self.q.take(now, 0, mode="wrap")  # -1, where a text has ended, is the last class
         q += self.pq
         k = self.k.take(seen, 0, mode="wrap")
         k += self.pk
         s = q @ k.swapaxes(1, 2)
         s += _CAUSAL
-        missing = seen < 0
-        short = np.flatnonzero(missing.any(1))
-        s[short] += np.where(missing[short], np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(s, 80, out=s)
-        np.exp(s, out=s)
-        total = s.reshape(n * CHUNK, -1) @ _ONES[: 2 * CHUNK]
-        total += np.float32(1e-30)
+        row, spot = np.divmod(np.flatnonzero(seen < 0), 2 * CHUNK)
+        s[row, :, spot] -= 1e9
+        total = _shares(s)
         h = (s @ self.v.take(seen, 0, mode="wrap")).reshape(-1, DIM)
-        h /= total
+        h /= total[:, None]
         h += self.e.take(now.ravel(), 0, mode="wrap")
         want, ahead = chunks.targets[at:to].ravel().astype(np.int32), now.ravel().astype(np.int32)
         value = np.zeros(len(want), np.float32)
         group = want // PLACES  # -1 where a text has ended
         order = np.argsort(group.astype(np.int8), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        cuts = np.cumsum(np.bincount(group + 1, minlength=GROUPS + 1))
         order = order[cuts[0] :]
         cuts = (cuts - cuts[0]).tolist()
-        want, ahead, group, h = want[order], ahead[order], group[order], h.take(order, 0)
+        want, ahead, group, h = want.take(order), ahead.take(order), group.take(order), h.take(order, 0)
         r = h @ self.p["W1"]
         r += self.p["b1"]
         np.maximum(r, 0, out=r)
@@ -440,21 +469,19 @@ class Scorer:
         logits = h @ self.p["Ug"]
         logits += self.group.take(ahead, 0)
         own = self._log_softmax(logits, group)
-        logits = self.place.take(ahead * GROUPS + group, 0)
-        for k in range(GROUPS):
-            if cuts[k] < cuts[k + 1]:
-                logits[cuts[k] : cuts[k + 1]] += h[cuts[k] : cuts[k + 1]] @ self.p["Up"][k]
+        for m in range(GROUPS):
+            if cuts[m] < cuts[m + 1]:
+                np.dot(h[cuts[m] : cuts[m + 1]], self.p["Up"][m], logits[cuts[m] : cuts[m + 1]])
+        logits += self.place.take(ahead * GROUPS + group, 0)
         own += self._log_softmax(logits, want % PLACES)
         value[order] = own
         return value.reshape(-1, CHUNK)
 
     @staticmethod
     def _log_softmax(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Natural log probability of the wanted column of each row."""
-        np.minimum(logits, 80, out=logits)
-        picked = logits[np.arange(len(want)), want]
-        np.exp(logits, out=logits)
-        return picked - np.log((logits @ _ONES[: logits.shape[1]])[:, 0] + np.float32(1e-30))
+        """Natural log probability of the wanted column of each row; logits become their exponentials."""
+        picked = logits.reshape(-1).take(np.arange(len(want)) * logits.shape[1] + want)
+        return np.minimum(picked, 80) - np.log(_shares(logits))
 
 
 def _trainer(p: dict[str, np.ndarray], prior: Prior, classes: np.ndarray, round_: int):

@@ -423,6 +423,57 @@ def test_lm_step_takes_all_groups_at_once():
     assert len(np.unique(targets // lm.PLACES)) == lm.GROUPS and sum(calls.values()) < lm.GROUPS, calls
 
 
+def test_lm_step_sorts_targets_only(monkeypatch):
+    """Rows are summed by class without sorting the inputs, and equal one addition after another."""
+    r, sorted_ = np.random.default_rng(7), []
+    inputs, targets = r.integers(0, lm.CLASSES, (64, 2 * lm.CHUNK)), r.integers(0, lm.CLASSES, (64, lm.CHUNK))
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **k: sorted_.append(x.size) or plain(x, **k))
+    lm.gradients(lm.start(), some_prior(r), inputs, np.ones(inputs.shape, bool), targets, np.ones(targets.shape, bool))
+    assert sorted_ == [targets.size]
+    for kind in (np.float32, np.float64):
+        rows_, classes = r.normal(size=(500, lm.DIM)).astype(kind), np.minimum(r.integers(0, 90, 500) ** 2, lm.CLASSES - 1)
+        want = np.zeros((lm.CLASSES, lm.DIM))
+        for c, row in zip(classes, rows_):
+            want[c] += row
+        got = lm.by_class(rows_, classes)
+        assert got.dtype == kind and np.allclose(got, want, atol=1e-4)
+    assert not lm.by_class(np.zeros((0, lm.DIM), np.float32), np.zeros(0, int)).any()
+
+
+def plain_loss(p, prior, inputs, present, targets, counted):
+    """Mean loss of the counted targets, a target at a time."""
+    total = 0.0
+    for c, there, then, counts in zip(inputs, present, targets, counted):
+        x = p["E"][c]
+        for t in range(lm.CHUNK):
+            some = np.flatnonzero(there[: lm.CHUNK + t + 1])
+            s = np.exp((x[some] @ p["Wk"] + p["PK"][some]) @ (x[lm.CHUNK + t] @ p["Wq"] + p["PQ"][t]) / np.sqrt(lm.DIM))
+            h = x[lm.CHUNK + t] + s / s.sum() @ (x[some] @ p["Wv"])
+            h = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+            (group, place), ahead = divmod(int(then[t]), lm.PLACES), c[lm.CHUNK + t]
+            for logits, want in ((h @ p["Ug"] + p["bg"] + prior.group[ahead], group), (h @ p["Up"][group] + p["bp"][group] + prior.place[ahead, group], place)):
+                total -= counts[t] * (logits[want] - np.log(np.exp(logits).sum()))
+    return total / max(1, counted.sum())
+
+
+def test_lm_loss_and_all_gradients_equal_plain_ones():
+    """Along random directions that move every parameter at once, with ids missing at either end."""
+    r = np.random.default_rng(8)
+    p = {k: r.normal(0, 0.3, v.shape) for k, v in lm.start().items()}
+    prior = some_prior(r)
+    inputs, targets = r.integers(0, 40, (5, 2 * lm.CHUNK)), r.integers(0, lm.CLASSES, (5, lm.CHUNK))
+    present, counted = np.ones(inputs.shape, bool), np.ones(targets.shape, bool)
+    present[0, : lm.CHUNK] = present[2, -4:] = counted[2, -4:] = present[3, 5:12] = False
+    loss, grads = lm.gradients(p, prior, inputs, present, targets, counted)
+    assert abs(loss - plain_loss(p, prior, inputs, present, targets, counted)) < 1e-6
+    for _ in range(3):
+        way = {k: r.normal(size=v.shape) for k, v in p.items()}
+        ahead, behind = (plain_loss({k: v + h * way[k] for k, v in p.items()}, prior, inputs, present, targets, counted) for h in (1e-6, -1e-6))
+        assert abs((ahead - behind) / 2e-6 - sum((grads[k] * way[k]).sum() for k in p)) < 1e-4
+    assert all(not g.any() for g in lm.gradients(p, prior, inputs, present, targets, np.zeros_like(counted))[1].values())
+
+
 def test_lm_steps_equal_plain_adam():
     r = np.random.default_rng(4)
     windows = r.integers(0, 3000, (3 * lm.BATCH + 5, 3 * lm.CHUNK)).astype(np.uint16)
